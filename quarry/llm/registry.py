@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import token_counts
+from quarry.llm import token_counts, token_files
 
 QUERIES = {
     "op7_token_counts": token_counts.query,
+    "op8_token_files": token_files.query,
 }
 
 #: Tokenizers can't be expressed in SQL; those queries are tested against their library.
