@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import token_counts, token_files
+from quarry.llm import bpe_codec, token_counts, token_files
 
 QUERIES = {
     "op7_token_counts": token_counts.query,
     "op8_token_files": token_files.query,
+    "op10_bpe_codec": bpe_codec.query,
 }
 
 #: Tokenizers can't be expressed in SQL; those queries are tested against their library.
