@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe_codec, token_counts, token_files
+from quarry.llm import bpe_codec, quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_token_files": token_files.query,
     "op10_bpe_codec": bpe_codec.query,
 }
 
 #: Tokenizers can't be expressed in SQL; those queries are tested against their library.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.SQL,
+}
