@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe_codec, quality_rules, token_counts, token_files
+from quarry.llm import bpe_codec, mixing, quality_rules, token_counts, token_files
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op4_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_token_files": token_files.query,
@@ -13,5 +14,6 @@ QUERIES = {
 
 #: Tokenizers can't be expressed in SQL; those queries are tested against their library.
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
     "op4_quality_rules": quality_rules.SQL,
 }
