@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe_codec, mixing, quality_rules, token_counts, token_files
+from quarry.llm import bpe_codec, language_id, mixing, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_language_id": language_id.query,
     "op4_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_token_files": token_files.query,
@@ -15,5 +16,6 @@ QUERIES = {
 #: Tokenizers can't be expressed in SQL; those queries are tested against their library.
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL,
+    "op2_language_id": language_id.query,
     "op4_quality_rules": quality_rules.SQL,
 }
