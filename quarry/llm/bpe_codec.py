@@ -13,18 +13,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import PieceCache, documents, extend
+from quarry.llm.common import PieceCache, documents, extend, filled, pieces
 from quarry.llm.tokenizer_files import Merges, merges, public
 
 #: Fixed value: the words that vocabularies of this family merge; what lies between them is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text that a task indexes at once.
-INDEX_BYTES = 24 << 20
+INDEX_BYTES = 8 << 20
 
 
 def encode_words(rules: Merges, words: list[bytes]) -> list[np.ndarray]:
@@ -96,49 +97,45 @@ class Codec:
         self.marks = tuple(self.rules.special)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.marks)) + ")").split if self.marks else None
         self.names = {i: s for s, i in self.rules.vocab.items()} | {i: s for s, i in self.rules.special.items()}
-        self.words = PieceCache(self.encode_new, 300_000)
-        self.known = PieceCache(self.pieces, 300_000)
+        self.words = PieceCache(self.encode_new, 100_000)
+        self.known = PieceCache(self.encode, 100_000)
 
-    def encode_new(self, words: list[str]) -> list[tuple[bytes, str]]:
-        return [(ids.astype("<u4").tobytes(), " ".join(map(self.names.__getitem__, ids.tolist()))) for ids in encode_words(self.rules, [w.encode() for w in words])]
+    def encode_new(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        return [(ids.astype("<u4").tobytes(), " ".join(map(self.names.__getitem__, ids.tolist())).encode()) for ids in encode_words(self.rules, [w.encode() for w in words])]
 
     def split(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
         return self.find(text.lower() if "Σ" not in text else "".join(c.lower() for c in text))
 
-    def pieces(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(packed ids, decoded text) of each of `texts`, each as if alone."""
         found: list[list] = []
         for t in texts:
             if any(m in t for m in self.marks):
-                parts = self.special(t)
-                found.append([w for i, p in enumerate(parts) for w in ([(p,)] if i % 2 else self.split(p))])
+                found.append([w for i, p in enumerate(self.special(t)) for w in ([(p,)] if i % 2 else self.split(p))])
             else:
                 found.append(self.split(t))
-        table = self.words.learn({w for ws in found for w in ws if isinstance(w, str)})
+        new = list({w for ws in found for w in ws if isinstance(w, str)})
+        table = dict(zip(new, self.words.get(new), strict=True))
         out = []
         for ws in found:
             if len(ws) == 1 and isinstance(ws[0], str):
                 out.append(table[ws[0]])
                 continue
-            made = [table[w] if isinstance(w, str) else (np.array([self.rules.special[w[0]]], "<u4").tobytes(), w[0]) for w in ws]
-            out.append((b"".join(m[0] for m in made), " ".join(m[1] for m in made)))
+            made = [table[w] if isinstance(w, str) else (np.array([self.rules.special[w[0]]], "<u4").tobytes(), w[0].encode()) for w in ws]
+            out.append((b"".join([m[0] for m in made]), b" ".join([m[1] for m in made])))
         return out
 
-    def __call__(self, texts: list[str | None]) -> dict:
-        new: set[str] = set()
-        for t in texts:
-            if t:
-                new.update(t.split(" "))  # a blank ends every word and is dropped
-        new.discard("")
-        table = self.known.learn(new)
-        table[""] = (b"", "")
-        ids, decoded = [], []
-        for t in texts:
-            made = [table[p] for p in t.split(" ")] if t else []
-            ids.append(b"".join([m[0] for m in made]))
-            decoded.append(" ".join([m[1] for m in made if m[1]]))
-        return {"ids": ids, "decoded": decoded}
+    def __call__(self, texts: pa.Array) -> dict:
+        codes, bounds, distinct = pieces(filled(texts), leading=False)  # a blank ends every word and is dropped
+        made = self.known.get(distinct)
+        out = {}
+        for i, (name, kind, mark) in enumerate((("ids", pa.binary(), b""), ("decoded", pa.string(), " "))):
+            full = np.fromiter((bool(m[i]) for m in made), bool, len(made))[codes]  # what has no words leaves no blank
+            taken = pa.array([m[i] for m in made], pa.binary()).cast(kind).take(pa.array(codes[full]))
+            ends = np.concatenate([[0], np.cumsum(full)])[bounds]
+            out[name] = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), taken), mark)
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def extend(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[], Callable[[list], dict]], limit: int = SLICE_BYTES) -> DataFrame:
+def extend(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, pa.DataType]], make: Callable[[], Callable[[pa.Array], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """`df` with more columns, computed from its column `text` in Python.
 
-    `make` is called once a task and gives a function from a list of texts (None for null) to a list
-    or array for each of `fields`. Columns of `df` whose names are among `fields` are replaced. Rows
+    `make` is called once a task and gives a function from an Arrow array of texts to a list or array
+    for each of `fields`. Columns of `df` whose names are among `fields` are replaced. Rows
     stay in their partitions and nothing is shuffled; a task holds one Arrow batch (which Spark
     bounds in bytes) and the results for `limit` bytes of text.
     """
@@ -51,8 +52,8 @@ def extend(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, pa.Data
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for part in slices(batch, text, limit):
-                new = work(part.column(at).to_pylist())
-                made = [pa.array(new[k], type=v[1]) for k, v in fields.items()]
+                new = work(part.column(at))
+                made = [new[k] if isinstance(new[k], pa.Array) else pa.array(new[k], type=v[1]) for k, v in fields.items()]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *fields])
 
     return base.mapInArrow(run, schema)
@@ -60,38 +61,84 @@ def extend(df: DataFrame, text: str, fields: dict[str, tuple[T.DataType, pa.Data
 
 #: Between two characters that no definition of white space includes, before a single blank.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s | \s")
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = f"[{_SPACE}] | [{_SPACE}]"
 
 
-def spaced(text: str) -> tuple[str, list[str]]:
-    """(head, rest) with text == head + "".join(" " + x for x in rest).
+def spaced(text: str) -> list[str]:
+    """Pieces of `text`; between them, one blank each is left out.
 
     The cuts lie before single blanks between two characters that aren't white space. Patterns that
     take one leading blank with what follows never match across such a place, so that the pieces can
-    be split and encoded one by one, whatever stands around them.
+    be split and encoded one by one, each but the first with its blank, whatever stands around them.
     """
-    if _ODD.search(text) is None:
-        head, *rest = text.split(" ")
-        return head, rest
     head, *rest = _CUT.split(text)
-    return head, [x[1:] for x in rest]
+    return [head, *[x[1:] for x in rest]]
+
+
+def filled(texts: pa.Array) -> pa.Array:
+    return pc.fill_null(texts, "")
+
+
+def pieces(texts: pa.Array, leading: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes, where each text's codes begin and the last ends, distinct pieces): the texts, cut at blanks.
+
+    With `leading`, cuts are those of `spaced`, and each text's first piece has a code of its own, after those
+    of the distinct pieces: code len(distinct) + i is the first piece of text i, which has no blank before it.
+    """
+    cut = pc.split_pattern(texts, " ")
+    if leading and (odd := pc.match_substring_regex(texts, _ODD)).true_count:
+        cut = pa.array([spaced(t) if o else t.split(" ") for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.string()))
+    coded = cut.flatten().dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    size = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    if leading:
+        heads = bounds[:-1]
+        first = [distinct[c] for c in codes[heads].tolist()]
+        codes = codes.copy()
+        codes[heads] = len(distinct) + np.arange(len(heads))
+        distinct = distinct + first
+    return codes, bounds, distinct
+
+
+def gather(pool: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of `pool` that `codes` name, one after the other; each one's length). Run i is `lengths[i]` long."""
+    begin = np.cumsum(lengths) - lengths
+    size = lengths[codes]
+    stop = np.cumsum(size)
+    total = int(stop[-1]) if len(stop) else 0
+    return pool[np.repeat(begin[codes] - (stop - size), size) + np.arange(total)], size
 
 
 class PieceCache:
     """Results by piece of text, so that what repeats is computed once.
 
-    `compute` maps a list of distinct new pieces to a list of results. Beyond `limit` entries the
-    cache starts anew, which bounds it; results never depend on what it holds.
+    `compute` maps a list of distinct new pieces to a list of results, none of them None. The cache has two
+    generations of `limit` entries: what is looked up moves to the younger, and the older goes when that is
+    full. This bounds it; results never depend on what it holds.
     """
 
     def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000):
-        self.compute, self.limit, self.known = compute, limit, {}
-
-    def learn(self, pieces: set[str]) -> dict:
-        """The cache, after `pieces` are in it."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = list(pieces.difference(self.known))
+        self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
+
+    def get(self, wanted: list[str]) -> list:
+        """The result of each of `wanted`, which are distinct."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        out = list(map(self.young.get, wanted))
+        new = [i for i, r in enumerate(out) if r is None]
+        if new and self.old:
+            texts = [wanted[i] for i in new]
+            found = list(map(self.old.get, texts))
+            self.young.update((t, r) for t, r in zip(texts, found, strict=True) if r is not None)
+            for i, r in zip(new, found, strict=True):
+                out[i] = r
+            new = [i for i, r in zip(new, found, strict=True) if r is None]
         if new:
-            self.known.update(zip(new, self.compute(new), strict=True))
-        return self.known
+            texts = [wanted[i] for i in new]
+            made = self.compute(texts)
+            self.young.update(zip(texts, made, strict=True))
+            for i, r in zip(new, made, strict=True):
+                out[i] = r
+        return out

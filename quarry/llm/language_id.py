@@ -72,8 +72,9 @@ class Model:
     temperature: float
     threshold: float
 
-    def predict(self, texts: list[str | None]) -> dict:
+    def predict(self, column: pa.Array) -> dict:
         """lang_pred, score and accepted of each text."""
+        texts = column.to_pylist()
         names, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         own = [i for i, t in enumerate(texts) if t and _LETTER(t)]
         if own and self.languages:

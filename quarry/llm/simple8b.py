@@ -12,6 +12,24 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64
 WIDEST = 60
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """How many bits each value takes."""
+    out = np.zeros(len(values), np.uint8)
+    for bits in (32, 16, 8, 4, 2, 1):
+        high = (values >> (out + np.uint8(bits - 1)).astype(np.uint64)) > 1
+        out[high] += np.uint8(bits)
+    return out + (values > 0)
+
+
+def _wider(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    """The larger of a[i] and b[i + by]; past the end nothing is wide."""
+    if not by:
+        return a
+    out = a.copy()
+    np.maximum(a[:-by], b[by:], out=out[:-by])
+    return out
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of unsigned 64-bit `values`.
 
@@ -28,18 +46,15 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values[wide] = 0
     if not n:
         return np.zeros(0, np.uint64), escapes
-    at = np.arange(n, dtype=np.int64)
-    selector = np.full(n, 15, np.int8)
-    taken = np.zeros(n, bool)
-    for s in range(15):  # from the most values to the fewest: the first that fits is taken
-        over = np.where(values >> np.uint64(BITS[s]), at, n)
-        end = np.minimum.accumulate(over[::-1])[::-1]  # the next value that is too wide
-        fits = ~taken & ((end - at >= COUNTS[s]) | (end == n))
-        selector[fits] = s
-        taken |= fits
-        if not fits.any() and s < 2:
-            continue
-    step = (at + COUNTS[selector]).tolist()
+    wide_by = _widths(values)
+    longest = {1: wide_by}  # over as many values from each on
+    for p in (2, 4, 8, 16, 32, 64, 128):
+        longest[p] = _wider(longest[p // 2], longest[p // 2], p // 2)
+    selector = np.full(n, 15, np.uint8)
+    for s in range(14, -1, -1):  # the last that fits has the most values
+        p = 1 << int(COUNTS[s]).bit_length() - 1
+        selector[_wider(longest[p], longest[p], int(COUNTS[s]) - p) <= BITS[s]] = s
+    step = (np.arange(n) + COUNTS[selector]).tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)

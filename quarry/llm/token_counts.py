@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import PieceCache, documents, extend, spaced
+from quarry.llm.common import PieceCache, documents, extend, filled, pieces
 from quarry.llm.tokenizer_files import Merges, merges, public
 
 #: Fixed value: how byte-level vocabularies of this family split text before merging.
@@ -75,9 +75,9 @@ class Counter:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.rules.special)) + ")").split if self.rules.special else None
         self.marks = tuple(self.rules.special)
-        self.spaced, self.heads = PieceCache(lambda new: self.pieces([" " + x for x in new])), PieceCache(self.pieces, 50_000)
+        self.tails, self.heads = PieceCache(lambda new: self.count([" " + x for x in new])), PieceCache(self.count, 20_000)
 
-    def pieces(self, texts: list[str]) -> list[int]:
+    def count(self, texts: list[str]) -> list[int]:
         """Tokens of each of `texts`, each as if alone."""
         words, owner, counts = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -93,22 +93,11 @@ class Counter:
             counts += np.bincount(owner, surviving(self.rules, [w.encode() for w in words]), len(texts)).astype(np.int64)
         return counts.tolist()
 
-    def __call__(self, texts: list[str | None]) -> dict:
-        heads, new = set(), set()
-        for t in texts:
-            if t:
-                head, rest = spaced(t)
-                heads.add(head)
-                new.update(rest)
-        tails, heads = self.spaced.learn(new), self.heads.learn(heads)
-        counts = []
-        for t in texts:
-            if t:
-                head, rest = spaced(t)
-                counts.append(heads[head] + sum(map(tails.__getitem__, rest)))
-            else:
-                counts.append(0)
-        return {"n_tokens": counts}
+    def __call__(self, texts: pa.Array) -> dict:
+        codes, bounds, distinct = pieces(filled(texts), leading=True)
+        n = len(distinct) - len(texts)
+        known = np.array(self.tails.get(distinct[:n]) + [self.heads.get([h])[0] for h in distinct[n:]], np.int64)
+        return {"n_tokens": np.add.reduceat(known[codes], bounds[:-1]) if len(texts) else []}
 
 
 @lru_cache(maxsize=2)

@@ -11,52 +11,80 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import PieceCache, documents, slices, spaced
-from quarry.llm.tokenizer_files import public
+from quarry.llm.common import PieceCache, documents, filled, gather, pieces, slices
+from quarry.llm.simple8b import read_block, write_block
+from quarry.llm.tokenizer_files import merges, public
 from quarry.plans.materialize import shared_dir
 
 END_ID = 2
-#: A block is closed at the first document that takes it to so many ids.
+#: A block holds so many ids at most; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 NO_KEY = -(2**63)
+BROADCAST_SHARDS = 1_000_000
+#: Bytes of text that a task encodes at once.
+SLICE = 8 << 20
 BLOCKS = "shard long, block long, n_docs long, ids_before long, n_ids long, data binary"
 
 
+#: What Python takes for white space, which is at least what any pattern does.
+_WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece of text encoded once."""
 
+    #: New pieces that go to the library as one text.
+    TOGETHER = 500
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.spaced, self.heads = PieceCache(lambda new: self.pieces([" " + x for x in new])), PieceCache(self.pieces, 50_000)
-
-    def pieces(self, texts: list[str]) -> list[bytes]:
+        known = merges(path)
+        self.width = np.zeros(known.size, np.int64)
+        for token, i in known.vocab.items():
+            self.width[i] = len(token)  # a character for each byte
+        for token, i in known.special.items():
+            self.width[i] = len(token.encode())
+        self.tails, self.heads = PieceCache(lambda new: self.encode([" " + x for x in new])), PieceCache(self.alone, 20_000)
+
+    def alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        heads, new = set(), set()
-        for t in texts:
-            if t:
-                head, rest = spaced(t)
-                heads.add(head)
-                new.update(rest)
-        tails, heads = self.spaced.learn(new), self.heads.learn(heads)
-        for t in texts:
-            if t:
-                head, rest = spaced(t)
-                yield heads[head] + b"".join(map(tails.__getitem__, rest))
-            else:
-                yield b""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of `texts`, which begin with a blank. Those that don't end in white space are
+        strung together, as no token lies across such a place, and told apart by their bytes."""
+        own = [t for t in texts if t[-1] not in _WHITE]
+        together = [own[i : i + self.TOGETHER] for i in range(0, len(own), self.TOGETHER)]
+        made = [e.ids for e in self.library.encode_batch_fast(list(map("".join, together)), add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(made), "<u4", sum(map(len, made)))
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(pc.binary_length(pa.array(own, pa.string())).to_numpy().astype(np.int64))) + 1
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        out = [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        if len(own) == len(texts):
+            return out
+        rest = [t for t in texts if t[-1] in _WHITE]
+        known = dict(zip(own, out, strict=True)) | dict(zip(rest, self.alone(rest), strict=True))
+        return [known[t] for t in texts]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        codes, bounds, distinct = pieces(filled(texts), leading=True)
+        n = len(distinct) - len(texts)
+        known = self.tails.get(distinct[:n]) + [self.heads.get([h])[0] for h in distinct[n:]]
+        ids, size = gather(np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4, codes)
+        return ids, np.add.reduceat(size, bounds[:-1]) if len(texts) else size
 
 
 @lru_cache(maxsize=2)
@@ -73,48 +101,28 @@ def write(docs: DataFrame, out: str, *, path: str, key: str = "doc_id", text: st
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text")
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    kinds = pa.schema([*[(c, pa.int64()) for c in ("shard", "block", "n_docs", "ids_before", "n_ids")], ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = _encoder(path), TaskContext.get().partitionId()
-        held: list[bytes] = []
-        keys: list[int] = []
-        block = before = size = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal block, before, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            ends = np.cumsum(np.fromiter((len(x) // 4 for x in held), np.int64, len(held)))
-            data = write_block_of(keys, ends, ids)
-            row = {"shard": [shard], "block": [block], "n_docs": [len(keys)], "ids_before": [before], "n_ids": [len(ids)], "data": [data]}
-            block, before, size = block + 1, before + len(ids), 0
-            held.clear()
-            keys.clear()
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([*[(c, pa.int64()) for c in ("shard", "block", "n_docs", "ids_before", "n_ids")], ("data", pa.binary())]))
-
+        encode, shard, block, before = _encoder(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                for k, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    keys.append(NO_KEY if k is None else k)
-                    held.append(ids + end)
-                    size += len(held[-1]) // 4
-                    if size >= block_ids:
-                        yield close()
-        if keys:
-            yield close()
+            for part in slices(batch, "text", SLICE):
+                ids, size = encode(part.column(1))
+                if end_id is not None:
+                    ids, size = np.insert(ids, np.cumsum(size), end_id), size + 1
+                keys, ends = pc.fill_null(part.column(0), NO_KEY).to_numpy(zero_copy_only=False), np.cumsum(size)
+                first = 0
+                while first < len(keys):
+                    begin = int(ends[first] - size[first])
+                    last = max(first + 1, int(np.searchsorted(ends, begin + block_ids, "right")))
+                    own, stop = ends[first:last] - begin, int(ends[last - 1])
+                    row = {"shard": [shard], "block": [block], "n_docs": [last - first], "ids_before": [before], "n_ids": [stop - begin], "data": [write_block(keys[first:last], own, ids[begin:stop])]}
+                    yield pa.RecordBatch.from_pydict(row, schema=kinds)
+                    block, before, first = block + 1, before + stop - begin, last
 
     rows.select("key", "text").mapInArrow(run, BLOCKS).write.mode("errorifexists").parquet(out)
 
 
-def write_block_of(keys: list[int], ends: np.ndarray, ids: np.ndarray) -> bytes:
-    from quarry.llm.simple8b import write_block
-
-    return write_block(np.array(keys, np.int64), ends, ids)
-
-
-READ = "doc_id long, start long, n_tokens long, ids binary"
-
-
 def read(spark: SparkSession, folder: str, *, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids, ids_crc32) of each document in the files of `folder`.
 
@@ -125,12 +133,12 @@ def read(spark: SparkSession, folder: str, *, with_ids: bool = True) -> DataFram
     blocks = spark.read.schema(BLOCKS).parquet(folder)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     offsets = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    # A row a shard, and there are as many shards as the writing had tasks.
+    offsets = F.broadcast(offsets) if totals.count() <= BROADCAST_SHARDS else offsets
     placed = blocks.join(offsets, "shard").select((F.col("shard_start") + F.col("ids_before")).alias("base"), "data")
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quarry.llm.simple8b import read_block
-
         for batch in batches:
             for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys, ends, ids = read_block(data.as_py())
