@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe_codec, language_id, mixing, quality_rules, token_counts, token_files
+from quarry.llm import bpe_codec, jaccard_join, language_id, mixing, quality_rules, token_counts, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_language_id": language_id.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_token_files": token_files.query,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.SQL,
     "op2_language_id": language_id.query,
+    "op3_jaccard_join": jaccard_join.SQL,
     "op4_quality_rules": quality_rules.SQL,
 }
