@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def as_leaf(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df`, computed once into a table of the shared folder and read back.
+
+    The table is a plain scan to what follows: with its size known, and without the constraints that a
+    checkpoint hands on, which pile up over the rounds of an iteration.
+    """
+    path = f"{shared_dir(df.sparkSession)}/leaf_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
