@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe_codec, jaccard_join, language_id, mixing, quality_rules, token_counts, token_files
+from quarry.llm import bpe_codec, jaccard_join, language_id, mixing, quality_rules, rare_features, token_counts, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_token_files": token_files.query,
+    "op9_rare_features": rare_features.query,
     "op10_bpe_codec": bpe_codec.query,
 }
 
