@@ -1,0 +1,55 @@
+import math
+import re
+from itertools import product
+
+from quarry.llm import url_filter as U
+
+
+def expected(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+    fits = [(h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+
+URLS = [None, "", "nothing", "http://", "https://A.Example.ORG/es/1", "http://example.org/en/12?x#y", "http://example.org/en/2", "http://notexample.org/es/", "http://x.com/fr/1", "http://x.com/de/#a", "http://x.com?/de/", "a://b://c.com/de/", "http://org/", "http://org", "http://cheappills.example.net/en/1", "http://my-casinowin.example.net/", "http://ththand.example.net/en/4", "http://É.com/É", "http://a.com\n/de/"]
+
+
+def test_rules_and_parts(spark):
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(1, "", "x"), (None, "http://a.b/c", "x")], "page_id long, url string, host string")
+    rows = U.url_filter(df, U.train(df)).collect()
+    assert len(rows) == len(URLS) + 2
+    for r in rows:
+        if r.page_id is not None:
+            host, path, (rule, verdict) = expected(URLS[r.page_id])
+            assert (r.host, r.path, r.rule) == (host, path, rule), URLS[r.page_id]
+            assert verdict is None or r.verdict == verdict
+    by = {r.page_id: r.verdict for r in rows}
+    assert by[14] == by[15] == "block" and by[16] == by[0] == "allow"
+    assert U.url_filter(df.limit(0), U.train(df.limit(0))).count() == 0
+
+
+def test_viterbi_against_all_cuts():
+    m = U.Model({w: c for w, c in [("cheap", 5), ("pills", 6), ("pill", 4), ("s", 3), ("heap", 1), ("c", 4)]}, math.log(30), {}, 0, 0)
+    for name in ["cheappills", "cheapxpills", "heaps", "zz", "cpillsc"]:
+        def cost(words):
+            return sum(m.cost.get(w, m.unknown * (len(w) + 1)) for w in words)
+        cuts = []
+        for mask in product([0, 1], repeat=len(name) - 1):
+            words, at = [], 0
+            for i, c in enumerate(mask, 1):
+                if c:
+                    words.append(name[at:i])
+                    at = i
+            cuts.append([*words, name[at:]])
+        assert abs(cost(m.segment(name)) - min(map(cost, cuts))) < 1e-9
+    assert m.segment("cheappills") == ["cheap", "pills"]
+
+
+def test_query(spark):
+    rows = U.query(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 250
+    bad = re.compile(r"cheap-pills|casino-win|free-bets|adult-x|spam-farm|ads-track")
+    for r in rows:
+        if r.rule is None:
+            assert (r.verdict == "block") == bool(bad.search(r.host)), r
