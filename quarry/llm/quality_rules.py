@@ -89,9 +89,13 @@ def quality_rules(docs: DataFrame, *, text: str = "text") -> DataFrame:
         F.size(F.array_distinct(F.concat("__at", F.transform("__at", lambda i: i + 1), F.transform("__at", lambda i: i + 2)))).cast("long").alias("n_repeat_words"),
         F.aggregate("__good", F.lit(0), lambda a, x: a + x["n"]).alias("__left"),
         F.array_join(F.transform("__good", lambda x: x["line"]), "\n").alias("clean_text"),
+        F.monotonically_increasing_id().alias("__row"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
-    return rows.select(*own, *COUNTS, failed.alias("base_failed"), (~failed & (F.col("__left") * 100 >= F.col("n_words") * MIN_LEFT)).alias("kept"), "clean_text")
+    left = F.col("__left") * 100 >= F.col("n_words") * MIN_LEFT
+    # The row number is never negative. It keeps a filter on the verdict above the counts; pushed below them, it would
+    # repeat all that they are made of, many times over.
+    return rows.select(*own, *COUNTS, failed.alias("base_failed"), (~failed & left & (F.col("__row") >= 0)).alias("kept"), "clean_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
