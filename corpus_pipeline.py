@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe_codec import digests, encode_decode
-from quarry.llm.jaccard_join import jaccard_join
+from quarry.llm.jaccard_join import Spec, jaccard_join
 from quarry.llm.language_id import identify, train
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import quality_rules
@@ -21,6 +21,10 @@ from quarry.llm.tokenizer_files import public
 from quarry.plans.materialize import as_leaf
 
 
+#: Near duplicates share four fifths of their distinct runs of five words.
+NEAR = Spec(width=5, percent=80)
+
+
 def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
     """`docs` under names that clash with none, beside a copy-free `text`; and how to get its columns back."""
     names = [(f"__{i}", c) for i, c in enumerate(docs.columns)]
@@ -45,7 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of linked ones. Ids are taken to be unique: of rows equal
     in id and text one stays, and rows without an id stay where their group has no other."""
-    groups = as_leaf(jaccard_join(docs))
+    groups = as_leaf(jaccard_join(docs, spec=NEAR))
     others = groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
     kept = docs.join(others.where("doc_id IS NOT NULL"), "doc_id", "left_anti").select(docs.columns)
     if not groups.where("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
