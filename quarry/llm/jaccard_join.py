@@ -7,9 +7,9 @@ only pairs that pass them all are verified on the whole sets.
 
 Documents with equal sets are one class. Within an index entry not all pairs are made: first each class meets
 the entry's hub, the class in which the token stands earliest. Then only classes that the links found so far
-leave in different groups meet, and of those only pairs that share as many prefix tokens as similar sets must.
-Entries with too many such pairs make their tokens count as frequent, and the index is built again under that
-order. The result is that of comparing all pairs.
+leave in different groups meet, and only where similar sets may have their first token in common. If there
+are too many such pairs, the tokens with most of them count as frequent, and the index is built again under
+that order. The result is that of comparing all pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ from quarry.llm.shingles import mix, sets, signature
 from quarry.plans.materialize import as_leaf
 
 SLICE = 2 << 20
-#: A token in so many texts of one slice is reported; the MOST_FREQUENT reported most are known to all tasks (12 bytes each).
-REPORTED, MOST_FREQUENT = 4, 200_000
+#: A token in so many different sets among a task's next COUNTED bytes of text is reported; the MOST_FREQUENT reported
+#: most are known to all tasks (16 bytes each).
+REPORTED, COUNTED, MOST_FREQUENT = 2, 24 << 20, 500_000
 #: More candidate pairs than this for each class and the index is built again, with the tokens that cause most
 #: of them last; after REBUILDS of those all pairs are verified, however many.
-PAIRS_A_CLASS, REBUILDS = 20, 2
+PAIRS_A_CLASS, REBUILDS = 200, 2
 
 
 @dataclass(frozen=True)
@@ -74,31 +75,50 @@ class Order:
 
 def scan(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     """(doc_id, n, sig, token): a row a document with its set's size and identity (null if it is empty), and
-    rows of null `sig` with a `token` and how many texts of a slice have it."""
+    rows of null `sig` with a `token` and how many of a task's sets have it."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kinds = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "sig", "token")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        held = 0
+
+        def report() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(list(once.values())), return_counts=True)
+            tokens, counts = tokens[counts >= REPORTED], counts[counts >= REPORTED]
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(counts, pa.int64()), none, pa.array(tokens.view(np.int64))], schema=kinds)
+
         for batch in batches:
-            for part in slices(batch, "text", 2 * SLICE):
+            for part in slices(batch, "text", SLICE):
                 found = sets(part.column(1).to_pylist(), spec.width)
                 sigs = [signature(s) if len(s) else None for s in found]
                 none = pa.nulls(len(found), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array(sigs, pa.int64()), none], schema=kinds)
-                once = {g: s for g, s in zip(sigs, found, strict=True) if g is not None}
-                if len(once) >= REPORTED:
-                    tokens, counts = np.unique(np.concatenate(list(once.values())), return_counts=True)
-                    tokens, counts = tokens[counts >= REPORTED], counts[counts >= REPORTED]
-                    none = pa.nulls(len(tokens), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(counts, pa.int64()), none, pa.array(tokens.view(np.int64))], schema=kinds)
+                once.update((g, s) for g, s in zip(sigs, found, strict=True) if g is not None)
+                held += sum(map(len, found))
+                if held * 6 >= COUNTED:  # a token stands for about so many bytes
+                    yield report()
+                    once, held = {}, 0
+        if once:
+            yield report()
 
     return as_leaf(rows.mapInArrow(run, "doc_id long, n long, sig long, token long"))
 
 
 def frequent(reports: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The MOST_FREQUENT tokens of (token, n), with their sums. Which ones are left out changes the order, never the result."""
-    top = reports.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
-    return top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    """The tokens of (token, n) that are reported most, with their sums: as many whole classes of n as MOST_FREQUENT
+    has room for. Which ones are left out changes the order, never the result."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    sums = as_leaf(reports.groupBy("token").agg(F.sum("n").alias("n")))
+    room, least = MOST_FREQUENT, 1 << 30
+    for r in sums.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect():
+        room -= r["c"]
+        if room < 0:
+            break
+        least = r["size"]
+    top = sums.where(size >= least).toArrow()
+    return top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
 
 
 def index(docs: DataFrame, text: str, spec: Spec, order: Order) -> DataFrame:
@@ -124,35 +144,45 @@ def index(docs: DataFrame, text: str, spec: Spec, order: Order) -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, sig long, n int, pos int")
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """The index's rows whose token more than one class has, with the hub of their entry."""
-    hubs = rows.groupBy("token").agg(F.min(F.struct("pos", "sig", "n")).alias("hub"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
-    return as_leaf(rows.join(hubs.select("token", "hub"), "token").select("token", "sig", "n", "pos", "hub").distinct())
+#: An entry's place and class in one number: the place above, the upper bits of the class below.
+CLASS_BITS = 44
+
+
+def _upper(sig: Column) -> Column:
+    return F.shiftrightunsigned(sig, 64 - CLASS_BITS)
 
 
-def _possible(spec: Spec, na: Column, nb: Column, ia: Column, ib: Column) -> Column:
-    """Whether sets whose first common token stands at these places can be similar."""
-    return (100 * F.least(na, nb) >= spec.percent * F.greatest(na, nb)) & (1 + F.least(na - ia, nb - ib) - 1 >= spec.needed(na, nb))
+def _early(spec: Spec, n: Column, pos: Column, other: Column) -> Column:
+    """Whether the first token that similar sets of n and `other` have in common may stand at this place."""
+    return pos <= n - spec.needed(n, other)
 
 
-def _evidence(spec: Spec, na: Column, nb: Column) -> Column:
-    """How many prefix tokens similar sets have in common at least. What they share beyond lies outside of the
-    prefix whose last token comes first in the order."""
-    outside = lambda n: F.ceil(spec.percent * n / 100.0 - 1e-9) - 1
-    return F.greatest(F.lit(1), spec.needed(na, nb) - F.greatest(outside(na), outside(nb)))
+def entries(rows: DataFrame, spec: Spec) -> DataFrame:
+    """(token, sig, n, pos, hub, hub_pos) of tokens that more than one class has, as far as they stand early
+    enough to matter. `hub` is the upper bits of the class in which the token stands earliest. A token's rows
+    are combined map-side to three numbers."""
+    last = (1 << (63 - CLASS_BITS)) - 1
+    place = F.shiftleft(F.least("pos", F.lit(last)).cast("long"), CLASS_BITS).bitwiseOR(_upper(F.col("sig")))
+    seen = rows.groupBy("token").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("n").alias("least")).where("lo <> hi")
+    hub = F.col("lo").bitwiseAND(F.lit((1 << CLASS_BITS) - 1))
+    met = rows.join(seen.select("token", hub.alias("hub"), F.shiftright("lo", CLASS_BITS).alias("hub_pos"), "least"), "token")
+    smallest = F.greatest(F.col("least"), F.ceil(spec.percent * F.col("n") / 100.0 - 1e-9))
+    return as_leaf(met.where(_early(spec, F.col("n"), F.col("pos"), smallest)).select("token", "sig", "n", "pos", "hub", "hub_pos"))
 
 
-def star_pairs(found: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b): classes with the hubs of their entries, where the entries they share with them speak for it."""
-    na, nb = F.col("n"), F.col("hub.n")
-    pairs = found.where((F.col("sig") != F.col("hub.sig")) & (100 * F.least(na, nb) >= spec.percent * F.greatest(na, nb)))
-    pairs = pairs.groupBy(F.least("sig", "hub.sig").alias("a"), F.greatest("sig", "hub.sig").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("na"), F.first("hub.n").alias("nb"))
-    return pairs.where(F.col("c") * 3 >= _evidence(spec, F.col("na"), F.col("nb"))).select("a", "b")
+def star_pairs(found: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b): classes with the hubs of their entries, where similar sets may first meet there."""
+    hubs = classes.select(F.col("sig").alias("other"), F.col("n").alias("m"), _upper(F.col("sig")).alias("hub"))
+    n, m = F.col("n"), F.col("m")
+    met = found.where(_upper(F.col("sig")) != F.col("hub")).join(hubs, "hub")
+    met = met.where((100 * F.least(n, m) >= spec.percent * F.greatest(n, m)) & _early(spec, n, F.col("pos"), m) & _early(spec, m, F.col("hub_pos"), n))
+    return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
 def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries' rows but the hubs', which have met all others of their entry, with the group of each class."""
     other = labels.select(F.col("node").alias("sig"), "label")
-    return found.join(other, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("label", "sig").alias("label"))
+    return found.where(_upper(F.col("sig")) != F.col("hub")).join(other, "sig", "left").select("token", "sig", "n", "pos", F.coalesce("label", "sig").alias("label"))
 
 
 def open_entries(rows: DataFrame) -> DataFrame:
@@ -163,18 +193,19 @@ def open_entries(rows: DataFrame) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame:
-    """(a, b): classes of different groups that share as many prefix tokens as similar sets must."""
+    """(a, b): classes of different groups that have a token where similar sets may first meet."""
     own = rows.join(opened.select("token"), "token", "left_semi")
     side = lambda p: own.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("sig", "n", "pos", "label")])
-    a, b = (F.col("a_n"), F.col("b_n"))
-    met = side("a").join(side("b"), "token").where((F.col("a_sig") < F.col("b_sig")) & (F.col("a_label") != F.col("b_label")) & (100 * F.least(a, b) >= spec.percent * F.greatest(a, b)))
-    met = met.groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("a_n").alias("na"), F.first("b_n").alias("nb"), F.max(_possible(spec, a, b, F.col("a_pos"), F.col("b_pos"))).alias("can"))
-    return met.where(F.col("can") & (F.col("c") >= _evidence(spec, F.col("na"), F.col("nb")))).select("a", "b")
+    a, b = F.col("a_n"), F.col("b_n")
+    can = (F.col("a_sig") < F.col("b_sig")) & (F.col("a_label") != F.col("b_label")) & (100 * F.least(a, b) >= spec.percent * F.greatest(a, b))
+    met = side("a").join(side("b"), "token").where(can & _early(spec, a, F.col("a_pos"), b) & _early(spec, b, F.col("b_pos"), a))
+    return met.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct()
 
 
-def texts_of(docs: DataFrame, text: str, spec: Spec, wanted: DataFrame) -> DataFrame:
-    """(sig, text): a text of each class in `wanted` (sig)."""
+def texts_of(docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sig, text): a text of each class in `wanted` (sig), fetched by the class's smallest id."""
     kinds = pa.schema([("sig", pa.int64()), ("text", pa.string())])
+    reps = as_leaf(classes.join(wanted, "sig").select(F.col("least").alias("id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -188,13 +219,18 @@ def texts_of(docs: DataFrame, text: str, spec: Spec, wanted: DataFrame) -> DataF
                         out[g] = t
                 yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], schema=kinds)
 
-    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "sig long, text string")
-    return as_leaf(rows.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    # Merged at every size: whether the ids would fit a broadcast depends on how many copies there are.
+    some = rows.join(reps.hint("merge"), "id", "left_semi").select("text")
+    if not reps.where("id IS NULL").isEmpty():
+        some = some.union(rows.where("id IS NULL").select("text"))
+    found = some.mapInArrow(run, "sig long, text string")
+    return as_leaf(found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, spec: Spec, order: Order) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame, order: Order) -> DataFrame:
     """(a, b, linked) for each of `pairs`, from the whole sets."""
-    known = texts_of(docs, text, spec, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
+    known = texts_of(docs, key, text, spec, classes, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
     side = lambda c: known.select(F.col("sig").alias(c), F.col("text").alias(f"{c}_text"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
@@ -228,13 +264,14 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sp
     seen = scan(docs, key, text, spec)
     members = seen.where("token IS NULL").select("doc_id", "n", "sig")
     tokens, counts = frequent(seen.where("token IS NOT NULL").select("token", "n"))
-    n_classes = members.where("sig IS NOT NULL").agg(F.approx_count_distinct("sig")).first()[0]
+    classes = as_leaf(members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
+    n_classes = classes.count()
     tried = links = labels = None
     for again in range(REBUILDS + 1):
         order = Order(tokens, counts)
-        found = entries(index(docs, text, spec, order))
+        found = entries(as_leaf(index(docs, text, spec, order)), spec)
         done = (lambda p: p) if tried is None else (lambda p, t=tried: p.join(t, ["a", "b"], "left_anti"))
-        result = verified(as_leaf(done(star_pairs(found, spec))), docs, text, spec, order)
+        result = verified(as_leaf(done(star_pairs(found, classes, spec))), docs, key, text, spec, classes, order)
         tried = result if tried is None else as_leaf(tried.union(result))
         labels = components(tried.where("linked"))
         rows = as_leaf(labelled(found, labels))
@@ -242,18 +279,17 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sp
         total = opened.agg(F.sum("pairs")).first()[0] or 0
         if total <= PAIRS_A_CLASS * n_classes or again == REBUILDS:
             break
-        more = opened.orderBy(F.desc("pairs"), "token").limit(MOST_FREQUENT // 2).toPandas()
+        more = opened.orderBy(F.desc("pairs"), "token").limit(MOST_FREQUENT // 10).toArrow()
         known = dict(zip(tokens.tolist(), counts.tolist(), strict=True))
         least = max(known.values(), default=0)
-        for t, c in zip(more["token"].to_numpy(np.int64).view(np.uint64).tolist(), more["pairs"].tolist(), strict=True):
+        for t, c in zip(more["token"].to_numpy().view(np.uint64).tolist(), more["pairs"].to_pylist(), strict=True):
             known[t] = max(known.get(t, 0), least + 1 + int(c).bit_length())
         tokens, counts = np.fromiter(known, np.uint64, len(known)), np.fromiter(known.values(), np.int64, len(known))
     if total:
         rest = as_leaf(cross_pairs(rows, opened, spec).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = tried.where("linked").select("a", "b").union(verified(rest, docs, text, spec, order).where("linked").select("a", "b"))
+            links = tried.where("linked").select("a", "b").union(verified(rest, docs, key, text, spec, classes, order).where("linked").select("a", "b"))
             labels = components(links)
-    classes = members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"))
     classes = as_leaf(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("label")))
     groups = as_leaf(classes.groupBy("label").agg(F.min("least").alias("component_id")))
     named = as_leaf(classes.join(groups, "label").select("sig", "component_id"))

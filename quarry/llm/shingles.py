@@ -26,6 +26,19 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+_known = [np.zeros(0, np.uint64)] * 2
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse; a worker keeps the longest so far."""
+    if len(_known[0]) < n:
+        for i, base in enumerate((_BASE, _BACK)):
+            p = np.full(n + n // 4 + 1, U(base))
+            p[0] = 1
+            _known[i] = np.cumprod(p)
+    return [p[:n] for p in _known]
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts; how many each text has)."""
     raw = [b"" if t is None else t.encode() for t in texts]
@@ -36,17 +49,29 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]  # every text ends in white space
     # A word's hash is its bytes' polynomial: a difference of prefix sums, moved back to where the word begins.
-    power, back = np.full(len(buf), U(_BASE)), np.full(len(buf), U(_BACK))
-    power[0] = back[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(back, out=back)
+    power, back = _powers(len(buf))
     upto = np.concatenate([[U(0)], np.cumsum((buf.astype(np.uint64) + U(1)) * power)])
     h = mix((upto[end] - upto[start]) * back[start] + (end - start).astype(np.uint64))
     return h, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
 
 
+#: Characters that are worked on at once; a longer text is worked on alone.
+CHARS = 1 << 18
+
+
 def sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of `width` words; a text of fewer has all its words as one, one without has none."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if held and held + size > CHARS:
+            out += _sets(texts[start:i], width)
+            start, held = i, 0
+        held += size
+    return out + (_sets(texts[start:], width) if start < len(texts) else [])
+
+
+def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     h, count = words(texts)
     n = len(h)
     grams = np.zeros(n, np.uint64)
