@@ -12,8 +12,13 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64
 WIDEST = 60
 
 
+_SMALL = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """How many bits each value takes."""
+    if len(values) and values.max() < len(_SMALL):
+        return _SMALL[values]
     out = np.zeros(len(values), np.uint8)
     for bits in (32, 16, 8, 4, 2, 1):
         high = (values >> (out + np.uint8(bits - 1)).astype(np.uint64)) > 1
@@ -30,6 +35,25 @@ def _wider(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _follow(step: np.ndarray) -> np.ndarray:
+    """The places 0, step[0], step[step[0]] and so on, while they lie below len(step).
+
+    Only every 64th is followed one by one; those between come from steps that were doubled.
+    """
+    n = len(step)
+    jumps = [np.append(step, n)]
+    for _ in range(6):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, i, at = jumps.pop().tolist(), 0, []
+    while i < n:
+        at.append(i)
+        i = far[i]
+    at = np.array(at, np.int64)
+    for jump in reversed(jumps):
+        at = np.stack([at, jump[at]], 1).reshape(-1)
+    return at[at < n]
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, escapes) of unsigned 64-bit `values`.
 
@@ -46,20 +70,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values[wide] = 0
     if not n:
         return np.zeros(0, np.uint64), escapes
-    wide_by = _widths(values)
-    longest = {1: wide_by}  # over as many values from each on
+    longest = {1: _widths(values)}  # over as many values from each on
     for p in (2, 4, 8, 16, 32, 64, 128):
         longest[p] = _wider(longest[p // 2], longest[p // 2], p // 2)
+        if n > p and longest[p][: n - p].min() > BITS[p <= COUNTS].max():
+            break  # no word takes so many or more
     selector = np.full(n, 15, np.uint8)
     for s in range(14, -1, -1):  # the last that fits has the most values
         p = 1 << int(COUNTS[s]).bit_length() - 1
+        if p not in longest:
+            break
         selector[_wider(longest[p], longest[p], int(COUNTS[s]) - p) <= BITS[s]] = s
-    step = (np.arange(n) + COUNTS[selector]).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = step[i]
-    starts = np.array(starts, np.int64)
+    starts = _follow(np.minimum(np.arange(n) + COUNTS[selector], n))
     chosen = selector[starts].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(WIDEST)
     padded = np.concatenate([values, np.zeros(240, np.uint64)])

@@ -7,6 +7,7 @@ commits files, so a lost executor costs its tasks again and leaves nothing half-
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ class Encoder:
     TOGETHER = 500
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
