@@ -25,7 +25,7 @@ from quarry.llm.tokenizer_files import Merges, merges, public
 #: Fixed value: the words that vocabularies of this family merge; what lies between them is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text that a task indexes at once.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 4 << 20
 
 
 def encode_words(rules: Merges, words: list[bytes]) -> list[np.ndarray]:
