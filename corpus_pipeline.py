@@ -47,18 +47,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked ones. Ids are taken to be unique: of rows equal
-    in id and text one stays, and rows without an id stay where their group has no other."""
-    groups = as_leaf(jaccard_join(docs, spec=NEAR))
-    others = groups.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
-    kept = docs.join(others.where("doc_id IS NOT NULL"), "doc_id", "left_anti").select(docs.columns)
-    if not groups.where("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
-        kept = kept.where("doc_id IS NOT NULL")
-    twice = as_leaf(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    """One document of each group of linked ones: that of the smallest id, or any where none has an id. Of rows equal
+    in id (or both without one) and text one stays. Rows are told apart by a 64-bit hash of id and text."""
+    own, back = _apart(docs)
+    own = own.withColumn("id", F.col(f"__{docs.columns.index('doc_id')}")).withColumn("row", F.xxhash64("id", "text"))
+    groups = as_leaf(jaccard_join(own, key="row", spec=NEAR).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
+    rows = as_leaf(groups.groupBy("row", "group").agg(F.count(F.lit(1)).alias("n")))
+    large = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    linked = as_leaf(rows.join(large, "group", "left_semi").select("row", "group"))
+    ids = linked.join(own.select("row", "id").distinct(), "row")
+    stay = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("row"))
+    others = as_leaf(linked.select("row").join(stay.select("row"), "row", "left_anti"))
+    kept = own.join(others, "row", "left_anti")
+    twice = as_leaf(rows.where("n > 1").select("row"))
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-    return once.union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+        return kept.select(*back)
+    once = kept.join(twice, "row", "left_anti").select(*back)
+    return once.union(kept.join(twice, "row", "left_semi").dropDuplicates(["row"]).select(*back))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

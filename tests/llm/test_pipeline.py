@@ -58,6 +58,18 @@ def test_stages_take_odd_rows(spark):
     assert {r.doc_id for r in now.collect()} <= {1, 4}
 
 
+def test_near_duplicates_by_row(spark):
+    """Ids that are missing or stand for several texts: a group loses all rows but one, and no other row goes."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("alone")), (None, text("a")), (1, text("a")), (None, text("b")), (None, text("b") + " b"), (None, text("b"))]
+    rows += [(2, text("c")), (3, text("c") + " c"), (3, text("d")), (4, text("e")), (4, text("e")), (5, ""), (6, ""), (None, text("f")), (None, text("f"))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    got = C.near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    got = Counter((r.doc_id, r.text.split("0")[0]) for r in got.collect())
+    assert got == Counter([(None, "alone"), (1, "a"), (None, "b"), (2, "c"), (3, "d"), (4, "e"), (5, ""), (6, ""), (None, "f")])
+
+
 def test_run_on_nothing(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert C.run(spark, f"file://{tmp_path}").count() == 0
