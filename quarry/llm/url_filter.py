@@ -2,7 +2,8 @@
 
 Names in hosts and paths are split into words by unigram Viterbi: of all ways to cut a name into words, the
 one whose words are likeliest together, where an unknown run of letters costs more the longer it is. The
-words that result are scored by multinomial naive Bayes.
+words that result are scored by multinomial naive Bayes. What words cost follows from how often names are in
+all URLs; the counts stay in a table, and each distinct name is cut once, beside the costs of its own parts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.materialize import as_leaf
+
 #: (host, path, verdict) of the query's rules.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Words that mark a name as unwanted, and words of plain sites, as first examples for either class.
@@ -24,9 +27,13 @@ UNWANTED = "casino casinos poker bet bets betting jackpot roulette slots gamblin
 PLAIN = "news blog home about wiki docs help support forum shop store book books library school university science health sport music film travel food garden house family city weather map history art science law public press journal review guide learn open data code page pages article articles post posts story stories index search archive category product products".split()
 #: How often a first example counts.
 SEED_COUNT = 20
-#: The corpus gives the model its most frequent names, so many at most, and so many weakly labelled URLs by hash.
-VOCABULARY, EXAMPLES = 20_000, 20_000
-LONGEST_WORD = 24
+#: The classifier is fitted on so many weakly labelled URLs by hash at most.
+EXAMPLES = 20_000
+#: The scores of so many names, the most frequent ones, are known to all tasks; those of others are joined.
+COMMON = 20_000
+LONGEST_WORD, SHORTEST_NAME = 24, 3
+#: Scores are whole multiples of one in so many, so that their sums don't depend on the order.
+UNIT = 1 << 40
 #: Parts of hosts that say nothing.
 SILENT = frozenset("www m com org net http https html htm php index example".split())
 
@@ -39,18 +46,20 @@ def parts(url) -> tuple:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, upper.lower()), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def names(host: str, path: str) -> list[str]:
-    """Runs of three letters or more; shorter ones are mostly language codes."""
-    return [x for x in re.findall(r"[a-z]{3,}", f"{host} {path}".lower()) if x not in SILENT]
+def names(host, path):
+    """Column of a URL's runs of three letters or more; shorter ones are mostly language codes."""
+    found = F.regexp_extract_all(F.lower(F.concat_ws(" ", host, path)), F.lit(f"([a-z]{{{SHORTEST_NAME},}})"))
+    return F.filter(found, lambda w: ~w.isin(*SILENT))
 
 
 @dataclass
 class Model:
-    cost: dict[str, float]  #: of each known word, minus the logarithm of its share
+    cost: dict[str, float]  #: of each known word, minus the logarithm of its share; `table` has those of a corpus
     unknown: float  #: of a letter of an unknown word
     score: dict[str, float]  #: log odds of unwanted
     other: float  #: the same of a word that training didn't see
     prior: float
+    table: DataFrame | None = None  #: (word, cost)
 
     def segment(self, name: str) -> list[str]:
         """The likeliest words of `name`. Letters between known words stay together as one word."""
@@ -70,12 +79,48 @@ class Model:
             n = back[n]
         return out[::-1]
 
-    def words(self, host: str, path: str) -> list[str]:
-        return [w for x in names(host, path) for w in self.segment(x) if w not in SILENT]
+    def score_of(self, words: list[str]) -> int:
+        """The log odds that `words` add, in UNITs."""
+        return sum(round(self.score.get(w, self.other) * UNIT) for w in words)
+
+
+def parts_of(name: str) -> set[str]:
+    """The parts of `name` that can be known words."""
+    return {name[i:j] for i in range(len(name)) for j in range(i + SHORTEST_NAME, min(len(name), i + LONGEST_WORD) + 1)}
+
+
+def segmented(found: DataFrame, table: DataFrame, unknown: float) -> DataFrame:
+    """(name, words) for each row of `found` (name), whose names differ, with costs from `table` (word, cost).
+
+    Each name's parts meet the table by shuffle, so that neither has to fit in a task.
+    """
+    numbered = as_leaf(found.select(F.monotonically_increasing_id().alias("id"), "name"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "word"])
+
+        ids, words = [], []
+        for batch in batches:
+            for i, name in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own = parts_of(name)
+                ids += [i] * len(own)
+                words += own
+                if len(ids) > 100_000:
+                    yield made()
+                    ids, words = [], []
+        yield made()
+
+    met = numbered.mapInArrow(cut, "id long, word string").join(table, "word").groupBy("id").agg(F.collect_list("word").alias("known"), F.collect_list("cost").alias("costs"))
 
-    def odds(self, host: str, path: str) -> float:
-        """The logarithm of the odds that the URL is unwanted."""
-        return self.prior + sum(self.score.get(w, self.other) for w in self.words(host, path))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            made = [(name, Model(dict(zip(known or (), costs or (), strict=True)), unknown, {}, 0.0, 0.0).segment(name)) for name, known, costs in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.list_(pa.string()))], names=["name", "words"])
+
+    both = numbered.join(met, "id", "left").select("name", "known", "costs")
+    return both.mapInArrow(run, "name string, words array<string>").select("name", F.filter("words", lambda w: ~w.isin(*SILENT)).alias("words"))
 
 
 def train(pages: DataFrame, url: str = "url") -> Model:
@@ -86,22 +131,25 @@ def train(pages: DataFrame, url: str = "url") -> Model:
     """
     host, path = parts(F.col(f"`{url}`"))
     urls = pages.select(host.alias("host"), path.alias("path"), F.xxhash64(F.col(f"`{url}`")).alias("draw"))
-    tokens = urls.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit("([a-z]{3,})"))).alias("w"))
-    counts = Counter({r["w"]: r["n"] for r in tokens.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY).collect() if r["w"] not in SILENT})
-    seeds = {*UNWANTED, *PLAIN}
+    counts = urls.select(F.explode(names("host", "path")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    seeds = sorted({*UNWANTED, *PLAIN})
     # A name that is made up of seed words isn't a word of its own.
-    whole = re.compile(f"(?:{'|'.join(sorted(seeds, key=len, reverse=True))}){{2,}}").fullmatch
-    counts = Counter({w: n for w, n in counts.items() if not whole(w) and len(w) <= LONGEST_WORD})
-    mean = max(SEED_COUNT, sum(counts.values()) // max(1, len(counts)))
-    for w in seeds:
-        counts[w] += mean
-    total = sum(counts.values())
-    model = Model({w: -math.log(n / total) for w, n in counts.items()}, math.log(30.0), {}, 0.0, 0.0)
+    whole = F.col("word").rlike(f"^(?:{'|'.join(sorted(seeds, key=len, reverse=True))}){{2,}}$")
+    counts = as_leaf(counts.where(F.when(F.length("word") <= LONGEST_WORD, ~whole).otherwise(False)))
+    size, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    mean = max(SEED_COUNT, total // max(1, size))
+    total += mean * len(seeds)
+    first = pages.sparkSession.createDataFrame([(w, mean) for w in seeds], "word string, n long")
+    both = counts.union(first).groupBy("word").agg(F.sum("n").alias("n"))
+    table = as_leaf(both.select("word", (-F.log(F.col("n") / F.lit(float(total)))).alias("cost")))
+    model = Model({}, math.log(30.0), {}, 0.0, 0.0, table)
     seen = {True: Counter(dict.fromkeys(UNWANTED, SEED_COUNT)), False: Counter(dict.fromkeys(PLAIN, SEED_COUNT))}
     docs = Counter({True: 1, False: 1})
     bad = set(UNWANTED) - set(PLAIN)
-    for r in urls.orderBy("draw", "host", "path").limit(EXAMPLES).collect():
-        words = model.words(r["host"], r["path"])
+    sample = as_leaf(urls.orderBy("draw", "host", "path").limit(EXAMPLES).select(names("host", "path").alias("names")))
+    cuts = {r["name"]: r["words"] for r in segmented(sample.select(F.explode("names").alias("name")).distinct(), table, model.unknown).collect()}
+    for r in sample.collect():
+        words = [w for x in r["names"] for w in cuts[x]]
         is_bad = bool(bad & set(words))
         docs[is_bad] += 1
         seen[is_bad].update(words)
@@ -124,34 +172,53 @@ def matching(rules: dict[str, list[tuple[str, str]]], host: str, path: str) -> t
     return best
 
 
-def url_filter(pages: DataFrame, model: Model, *, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+def scored(found: DataFrame, model: Model) -> DataFrame:
+    """(name, score): what each of `found` (name), whose names differ, adds to the odds, in UNITs."""
+    bare = Model({}, model.unknown, model.score, model.other, model.prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bare.score_of(w) for w in batch.column(1).to_pylist()], pa.int64())], names=["name", "score"])
+
+    return segmented(found, model.table, model.unknown).mapInArrow(run, "name string, score long")
+
+
+def url_filter(pages: DataFrame, model: Model, *, rules=RULES, key: str = "page_id", url: str = "url", common: int = COMMON) -> DataFrame:
     """(page_id, host, path, rule, verdict, odds) for each row of `pages`.
 
     A null URL or one without :// has an empty host and path and is let through unless the prior alone says
     otherwise. `rule` is null where none fits and the model decided. Equal rules: the later one is not used.
-    Rows that repeat are judged alike; no shuffle. Rules go to every task by host.
+    Rows that repeat are judged alike. Rules and the scores of the `common` most frequent names go to every task;
+    where there are more names, the others' scores are joined to numbered rows, without their html.
     """
     by_host: dict[str, list[tuple[str, str]]] = {}
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict))
     host, path = parts(F.col(f"`{url}`"))
-    rows = pages.select(F.col(f"`{key}`").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{key}`").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("names", names("host", "path"))
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, odds double"
+    counts = as_leaf(rows.select(F.explode("names").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    scores = as_leaf(scored(counts.select("name"), model))
+    top = counts.orderBy(F.desc("n"), "name").limit(common)
+    known = {r["name"]: r["score"] for r in scores.join(F.broadcast(top), "name").select("name", "score").collect()}
+    if counts.count() > common:
+        numbered = as_leaf(rows.withColumn("row", F.monotonically_increasing_id()))
+        rare = numbered.select("row", F.explode("names").alias("name")).join(F.broadcast(as_leaf(top)), "name", "left_anti")
+        sums = rare.join(scores, "name").groupBy("row").agg(F.sum("score").alias("rest"))
+        rows = numbered.join(sums, "row", "left").select("page_id", "host", "path", "names", F.coalesce("rest", F.lit(0)).alias("rest"))
+    else:
+        rows = rows.withColumn("rest", F.lit(0).cast("long"))
+    prior = round(model.prior * UNIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], float] = {}
         for batch in batches:
             made = []
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for h, p, own, rest in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
                 rule = matching(by_host, h, p)
-                k = (h, re.sub(r"[^a-zA-Z]+", " ", p))
-                if (odds := known.get(k)) is None:
-                    if len(known) > 50_000:
-                        known.clear()
-                    odds = known[k] = model.odds(h, p)
+                odds = (prior + rest + sum(known.get(x, 0) for x in own)) / UNIT
                 made.append((rule[0] if rule else None, rule[1] if rule else "block" if odds > 0 else "allow", odds))
             cols = list(zip(*made, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "odds"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "odds"])
 
     return rows.mapInArrow(run, schema)
 

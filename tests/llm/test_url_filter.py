@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 from itertools import product
 
 from quarry.llm import url_filter as U
@@ -46,6 +47,37 @@ def test_viterbi_against_all_cuts():
     assert m.segment("cheappills") == ["cheap", "pills"]
 
 
+def test_every_name_counts(spark):
+    """More names than tasks are told of, one of them rare and with a seed word's letters at its end."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    many = ["q" + "".join(letters[i // 20**k % 20] for k in range(5)) for i in range(20_200)]
+    rare = "zqvrtplmbets"
+    urls = [f"http://a.example.net/{'/'.join(many[i : i + 50])}" for i in range(0, len(many), 50)] * 2
+    urls += [f"http://cheap-pills.example.net/{i}" for i in range(200)] + [f"http://my-bets.example.net/{i}" for i in range(100)] + [f"http://{rare}.example.net/", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = U.train(df)
+    counts = Counter(w for u in urls for w in re.findall("[a-z]{3,}", (u or "").partition("://")[2]) if w not in U.SILENT)
+    seeds = {*U.UNWANTED, *U.PLAIN}
+    mean = max(U.SEED_COUNT, sum(counts.values()) // len(counts))
+    for w in seeds:
+        counts[w] += mean
+    total = sum(counts.values())
+    costs = {r.word: r.cost for r in model.table.collect()}
+    assert costs.keys() == counts.keys() and all(abs(c + math.log(counts[w] / total)) < 1e-9 for w, c in costs.items())
+    brute = U.Model(costs, model.unknown, model.score, model.other, model.prior)
+    assert brute.segment(rare) == [rare]
+    by = {}
+    for common in (0, 100, 10**6):
+        for r in U.url_filter(df, model, common=common).collect():
+            by.setdefault(r.page_id, set()).add((r.verdict, r.odds))
+    for i, u in enumerate(urls):
+        words = [w for x in re.findall("[a-z]{3,}", (u or "").partition("://")[2]) if x not in U.SILENT for w in brute.segment(x) if w not in U.SILENT]
+        odds = (round(model.prior * U.UNIT) + brute.score_of(words)) / U.UNIT
+        assert by[i] == {("block" if odds > 0 else "allow", odds)}
+    assert {v for v, _ in by[urls.index(f"http://{rare}.example.net/")]} == {"allow"}
+    assert {v for v, _ in by[urls.index("http://my-bets.example.net/0")]} == {"block"}
+
+
 def test_query(spark):
     rows = U.query(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 250
