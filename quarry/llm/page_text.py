@@ -1,10 +1,11 @@
 """Main text of web pages: blocks of text by their markup, and page differencing between near URLs.
 
 A page becomes lines, one for each block, without the elements that are never its text. Pages are put in
-order of host and path; each is held against the neighbour of its host whose path shares the longest
-beginning, the lines of both are aligned by a longest common subsequence, and lines that stand in both are
-deleted, as they belong to the site. Lines within an <article> or <main> are the exception: a sentence
-that two articles share is text of both, so it takes part in the alignment and stays.
+order of host and path; each is held against the nearest page before or after it, of its host, whose path and
+html are others: the one whose path shares the longest beginning. The lines of both are aligned by a longest
+common subsequence, and lines that stand in both are deleted, as they belong to the site. Lines within an
+<article> or <main> are the exception: a sentence that two articles share is text of both, so it takes part in
+the alignment and stays.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import slices
 from quarry.llm.url_filter import parts
+from quarry.plans.materialize import as_leaf
 
 SLICE = 2 << 20
 #: Elements whose text is none of the page's; the second kind only outside of articles.
@@ -152,51 +155,125 @@ def main_text(own: list[tuple[str, bool]], near: list[tuple[str, bool]] | None)
     return "\n".join(t for i, (t, m) in enumerate(keep_all) if m or i not in gone)
 
 
-def page_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """(page_id, url, text) for each row of `pages`.
+class Run(NamedTuple):
+    """The pages of one path: the least and greatest hash of their html."""
+
+    host: str
+    path: str
+    lo: int
+    hi: int
+
+
+def _behind(runs: list[Run]) -> list[tuple[Run, ...]]:
+    """For each of `runs`, those before it that a page may be held against: the one just before and, for pages
+    whose html is all that one has, the last one that has another."""
+    out, state = [], ()
+    for r in runs:
+        if state and state[0].host != r.host:
+            state = ()
+        out.append(state)
+        if not state or not r.lo == r.hi == state[0].lo == state[0].hi:
+            state = (r, *state[:1])
+        else:
+            state = (r, *state[1:])
+    return out
+
+
+_RUNS = pa.list_(pa.struct([("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())]))
+_KEY = ["host", "path", "sig"]
 
-    Pages are dealt out once, by ranges of (host, path, id), so that a host of any size spreads over tasks; a
-    page at the edge of a range has one neighbour instead of two. Null html gives an empty text. A null
-    or odd URL has an empty host. Rows that repeat are neighbours of each other; a page isn't held against one
-    with the same URL and html.
+
+def _per_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[Run]]:
+    out: dict[int, list[Run]] = {}
+    for batch in batches:
+        for part, *r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out.setdefault(part, []).append(Run(*r))
+    return out
+
+
+def near_runs(keys: DataFrame) -> DataFrame:
+    """(host, path, before, after): for each path of `keys` (host, path, sig) the runs of `_behind`, on either side.
+
+    Paths are dealt out by ranges, so that a host of any size spreads over tasks; a task holds the paths of its range.
     """
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = keys.groupBy("host", "path").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+    runs = as_leaf(runs.repartitionByRange(n, "host", "path").select(F.spark_partition_id().alias("part"), "host", "path", "lo", "hi"))
+    dealt = runs.repartitionById(n, "part").sortWithinPartitions("part", "host", "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _per_part(batches).values():
+            before, after = _behind(own), _behind(own[::-1])[::-1]
+            sides = [pa.array([[r[1:] for r in x] for x in side], _RUNS) for side in (before, after)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.host for r in own]), pa.array([r.path for r in own]), *sides], names=["host", "path", "before", "after"])
+
+    side = "array<struct<path: string, lo: bigint, hi: bigint>>"
+    return dealt.mapInArrow(run, f"host string, path string, before {side}, after {side}")
+
+
+def nearest(path: str, sig: int, before: list, after: list) -> tuple[str, int] | None:
+    """(path, html's hash) of the page that one of `path` and `sig` is held against."""
+    best, shared = None, -1
+    for side, which in ((before, ("hi", "lo")), (after, ("lo", "hi"))):
+        found = next(((r["path"], r[k]) for r in side or () for k in which if r[k] != sig), None)
+        if found and (s := _shared(found[0], path)) > shared:
+            best, shared = found, s
+    return best
+
+
+def parsed(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
+    """(page_id, url, host, path, sig, lines): the blocks of each page, beside a hash of its html."""
     host, path = parts(F.col(f"`{url}`"))
-    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    text = F.coalesce(F.col(f"`{source}`"), F.lit(""))
+    rows = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(text).alias("sig"), text.alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
+    lines = pa.list_(pa.struct([("line", pa.string()), ("inside", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the last page that was given, for the next to be held against
-        waits = None  # the one after it, which waits for its other neighbour
+        for batch in batches:
+            for part in slices(batch, "html", SLICE):
+                made = pa.array([blocks(x) for x in part.column(5).to_pylist()], lines)
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], made], names=["page_id", "url", *_KEY, "lines"])
+
+    return as_leaf(rows.mapInArrow(run, f"page_id {kind}, url string, host string, path string, sig long, lines array<struct<line: string, inside: boolean>>"))
+
 
-        def choose(row, other_a, other_b) -> str:
-            best, shared = None, -1
-            for o in (other_a, other_b):
-                if o is not None and o[3] == row[3] and not (o[1] == row[1] and o[2] == row[2]) and (s := _shared(o[4], row[4])) > shared:
-                    best, shared = o, s
-            return main_text(row[5], best[5] if best else None)
+def page_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
+    """(page_id, url, text) for each row of `pages`.
 
-        def made(out: list) -> pa.RecordBatch:
-            ids, urls, texts = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    Null html gives an empty text. A null or odd URL has an empty host. Rows of equal host, path and html have
+    equal texts, and which page one is held against depends on the pages alone; query strings are no part of the
+    path. Pages are parsed once, into a table of their lines. Only for pages without an article are lines dealt
+    out, by (host, path, hash of html), each such page once.
+    """
+    rows = parsed(pages, key, url, source)
+    done = F.exists("lines", lambda x: x["inside"]) | (F.size("lines") == 0)
+    inner = F.transform(F.filter("lines", lambda x: x["inside"]), lambda x: x["line"])
+    whole = rows.where(done).select("page_id", "url", F.array_join(inner, "\n").alias("text"))
+    rest = rows.where(~done)
+    own = as_leaf(rest.select(*_KEY).distinct())
+    if own.isEmpty():
+        return whole
 
-        types = [pa.int64()]
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types[0] = batch.schema.field(0).type
-            for part in slices(batch, "html", SLICE):
-                out = []
-                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    row = (row[0], row[1], hash(row[2]), row[3], row[4], blocks(row[2]))
-                    if waits is not None:
-                        out.append((waits[0], waits[1], choose(waits, before, row)))
-                        before = waits
-                    waits = row
-                if out:
-                    yield made(out)
-        if waits is not None:
-            yield made([(waits[0], waits[1], choose(waits, before, None))])
-
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string")
+            near = [nearest(*x) or (None, None) for x in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([p for p, _ in near], pa.string()), pa.array([g for _, g in near], pa.int64())], names=[*_KEY, "near_path", "near_sig"])
+
+    sides = near_runs(rows.select(*_KEY))
+    pairs = as_leaf(own.join(sides, ["host", "path"]).select(*_KEY, "before", "after").mapInArrow(choose, "host string, path string, sig long, near_path string, near_sig long"))
+    needed = own.union(pairs.where("near_path IS NOT NULL").select("host", "near_path", "near_sig")).distinct()
+    lines = as_leaf(rows.join(needed, _KEY, "left_semi").groupBy(*_KEY).agg(F.first("lines").alias("lines")))
+
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([x and [(y["line"], y["inside"]) for y in x] for x in batch.column(i).to_pylist()] for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(main_text, a, b), pa.string())], names=[*_KEY, "text"])
+
+    other = lines.select("host", F.col("path").alias("near_path"), F.col("sig").alias("near_sig"), F.col("lines").alias("near"))
+    both = pairs.join(lines, _KEY).join(other, ["host", "near_path", "near_sig"], "left").select(*_KEY, "lines", "near")
+    texts = as_leaf(both.mapInArrow(difference, "host string, path string, sig long, text string"))
+    return whole.union(rest.join(texts, _KEY).select("page_id", "url", "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,25 @@ def test_differencing(spark):
     assert main_text([("a", False), ("b", False)], [("b", False), ("c", False)]) == "a"
 
 
+def page(own, top="Menu", end="Imprint"):
+    return f"<div>{top}</div><p>{own}</p><p>By the editors</p><div>{end}</div>"
+
+
+def test_copies_are_not_held_against_each_other(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    rows = [(1, "http://a.org/x?utm_source=f", page("One")), (2, "http://a.org/x", page("One")), (3, "http://a.org/y", page("Two"))]
+    rows += [(i, "http://b.org/x", page("Three")) for i in range(10, 15)] + [(15, "http://b.org/x#top", page("Three, edited")), (16, "http://b.org/z", page("Four"))]
+    rows += [(i, f"http://c.org/{i}", page("Not found")) for i in range(20, 26)] + [(26, "http://c.org/7", page("Five"))]
+    rows += [(30, "http://d.org/x?a", page("Six")), (31, "http://d.org/x?b", page("Six"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in page_text(df.coalesce(1)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert by[1] == by[2] == "One" and by[3] == "Two"
+    assert {by[i] for i in range(10, 15)} == {"Three"} and by[15] == "Three, edited" and by[16] == "Four"
+    assert {by[i] for i in range(20, 26)} == {"Not found"} and by[26] == "Five"
+    assert by[30] == by[31] == "Menu\nSix\nBy the editors\nImprint"
+
+
 def test_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = query(spark, sf_dir).collect()
