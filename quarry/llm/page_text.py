@@ -164,10 +164,11 @@ class Run(NamedTuple):
     hi: int
 
 
-def _behind(runs: list[Run]) -> list[tuple[Run, ...]]:
+def _behind(runs: list[Run], state: tuple[Run, ...] = ()) -> tuple[list[tuple[Run, ...]], tuple[Run, ...]]:
     """For each of `runs`, those before it that a page may be held against: the one just before and, for pages
-    whose html is all that one has, the last one that has another."""
-    out, state = [], ()
+    whose html is all that one has, the last one that has another. And the same for the run after the last;
+    `state` is that of the runs which went before."""
+    out = []
     for r in runs:
         if state and state[0].host != r.host:
             state = ()
@@ -176,6 +177,15 @@ def _behind(runs: list[Run]) -> list[tuple[Run, ...]]:
             state = (r, *state[:1])
         else:
             state = (r, *state[1:])
+    return out, state
+
+
+def _carried(edges: dict[int, tuple[Run, ...]], order: list[int]) -> dict[int, tuple[Run, ...]]:
+    """What stands before each part, from what each leaves behind."""
+    out, state = {}, ()
+    for part in order:
+        out[part] = state
+        state = _behind(list(edges[part][::-1]), state)[1]
     return out
 
 
@@ -195,15 +205,30 @@ def near_runs(keys: DataFrame) -> DataFrame:
     """(host, path, before, after): for each path of `keys` (host, path, sig) the runs of `_behind`, on either side.
 
     Paths are dealt out by ranges, so that a host of any size spreads over tasks; a task holds the paths of its range.
+    The driver sees four runs a range at most, and tells each task what lies beyond the edges of its own.
     """
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = keys.groupBy("host", "path").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"))
     runs = as_leaf(runs.repartitionByRange(n, "host", "path").select(F.spark_partition_id().alias("part"), "host", "path", "lo", "hi"))
     dealt = runs.repartitionById(n, "part").sortWithinPartitions("part", "host", "path")
 
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in _per_part(batches).items():
+            found = [(part, last, *r) for last, x in ((True, own), (False, own[::-1])) for r in _behind(x)[1]]
+            yield pa.RecordBatch.from_pylist([dict(zip(edge, r, strict=True)) for r in found], edge_schema)
+
+    edge = ["part", "last", *Run._fields]
+    edge_schema = pa.schema(list(zip(edge, [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64()], strict=True)))
+    first: dict[int, tuple[Run, ...]] = {}
+    last: dict[int, tuple[Run, ...]] = {}
+    for r in dealt.mapInArrow(ends, "part int, last boolean, host string, path string, lo long, hi long").collect():
+        of = last if r["last"] else first
+        of[r["part"]] = (*of.get(r["part"], ()), Run(*r[2:]))
+    ahead, beyond = _carried(last, sorted(last)), _carried(first, sorted(first, reverse=True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _per_part(batches).values():
-            before, after = _behind(own), _behind(own[::-1])[::-1]
+        for part, own in _per_part(batches).items():
+            before, after = _behind(own, ahead[part])[0], _behind(own[::-1], beyond[part])[0][::-1]
             sides = [pa.array([[r[1:] for r in x] for x in side], _RUNS) for side in (before, after)]
             yield pa.RecordBatch.from_arrays([pa.array([r.host for r in own]), pa.array([r.path for r in own]), *sides], names=["host", "path", "before", "after"])
 

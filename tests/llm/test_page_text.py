@@ -68,6 +68,19 @@ def test_copies_are_not_held_against_each_other(spark):
     assert by[30] == by[31] == "Menu\nSix\nBy the editors\nImprint"
 
 
+def test_any_partitioning(spark):
+    r = random.Random(3)
+    rows = [(i, f"http://h{i // 20}.org/{r.choice('abc')}/{i % 20:02}", page(f"Text {i}")) for i in range(60)]
+    rows += [(100 + i, f"http://h1.org/b/{i:03}", page("Not found")) for i in range(40)] + [(200 + i, "http://one.org/", page("Copy")) for i in range(20)] + [(300, "http://one.org/z", page("Other"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: re.search("<p>(.*?)</p>", h)[1] for i, _, h in rows}
+    for n in ("1", "3", "16", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {x.page_id: x.text for x in page_text(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want, n
+
+
 def test_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = query(spark, sf_dir).collect()
