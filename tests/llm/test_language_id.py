@@ -1,5 +1,6 @@
 import zlib
 
+from quarry.llm import registry
 from quarry.llm.language_id import UNKNOWN, fit, identify, query, train
 
 
@@ -27,3 +28,7 @@ def test_edges(spark):
         assert r.lang_pred != UNKNOWN or (r.score == 0 and not r.accepted)
     assert identify(df.limit(0), train(df.limit(0))).count() == 0
     assert {r.lang_pred for r in identify(df, fit([])).collect()} == {UNKNOWN}
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(x, str) for x in registry.ORACLE_SQL.values()) and "op2_language_id" not in registry.ORACLE_SQL
