@@ -28,8 +28,9 @@ SLICE = 2 << 20
 #: Elements whose text is none of the page's; the second kind only outside of articles.
 NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg canvas object menu dialog datalist".split())
 OUTSIDE = frozenset(["header"])
-#: Words in an element's class or id that say the same.
+#: Last words of an element's classes and id that say the same, where none of BESIDE is before them.
 MARKED = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu sidebar breadcrumb breadcrumbs cookie cookies consent notice popup modal newsletter subscribe share sharing social related comment comments disqus respond reply login signup pagination widget footer".split())
+BESIDE = frozenset("has no with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul header".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -42,13 +43,50 @@ _WORD = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def _unwanted(attributes: str) -> bool:
+def _unwanted(attributes: str) -> str:
+    """How the element is marked as none of the page's text: `hidden`, or by its `name` or role; empty if it isn't."""
+    found = ""
     for name, *values in _NAMED.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
-        if name in ("class", "id") and not MARKED.isdisjoint(_WORD.findall(value)) or name == "role" and value in ROLES or name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+        if name == "hidden" and value != "until-found" or name == "aria-hidden" and value == "true":
+            return "hidden"
+        if name in ("class", "id") and any(map(_marked, value.split())) or name == "role" and value in ROLES:
+            found = "name"
+    return found
+
+
+def _marked(name: str) -> bool:
+    words = _WORD.findall(name)
+    return bool(words) and words[-1] in MARKED and BESIDE.isdisjoint(words[:-1])
+
+
+def _around_main(page: str) -> set[int]:
+    """Where the elements begin that have an <article> or <main> in them."""
+    out: set[int] = set()
+    opened: dict[str, list[int]] = {}
+    at, end = 0, len(page)
+    while at < end:
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if opened.get(tag):
+                opened[tag].pop()
+        elif tag in _END:
+            found = _END[tag].search(page, at)
+            at = found.end() if found else end
+        elif tag not in VOID and not m[3].endswith("/"):
+            if tag in MAIN:
+                for starts in opened.values():
+                    for x in reversed(starts):
+                        if x in out:
+                            break
+                        out.add(x)
+            opened.setdefault(tag, []).append(m.start())
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
@@ -56,6 +94,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     inside = 0
+    around: set[int] | None = None
     skip, depth = "", 0  # the element that is left out, and how deep in elements of its name
 
     def close() -> None:
@@ -82,7 +121,13 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                     skip = ""
             continue
         if not ends and tag not in VOID and not m[3].endswith("/"):
-            if tag in NEVER or tag in OUTSIDE and not inside or tag not in ("html", "body") and tag not in MAIN and m[3] and _unwanted(m[3]):
+            drop = "never" if tag in NEVER or tag in OUTSIDE and not inside else _unwanted(m[3]) if tag not in ("html", "body") and tag not in MAIN and m[3] else ""
+            if drop == "name":
+                if around is None:
+                    around = _around_main(page)
+                if m.start() in around:
+                    drop = ""
+            if drop:
                 close_tag = _END.get(tag)
                 if close_tag is not None:  # what stands in there isn't markup
                     found = close_tag.search(page, at)

@@ -33,6 +33,17 @@ def test_blocks():
     assert blocks("<p hidden>no</p><p>yes") == [("yes", False)]
 
 
+def test_wrappers_with_marked_names():
+    article = "<article><p>Text</p></article>"
+    for wrap in ("layout has-sidebar", "content no-sidebar", "page sidebar", "with-ads", "ad-free"):
+        assert blocks(f'<div class="{wrap}"><div class="ad">buy</div><div>{article}</div></div><div class="site-footer">f</div>') == [("Text", True)]
+    assert blocks('<div role="form"><main>a</main></div>') == [("a", True)]
+    assert blocks('<div class="content no-sidebar"><p>a</p><p class="post-comments">b</p></div>') == [("a", False)]
+    assert blocks(f"<div hidden>{article}</div><p>b</p>") == [("b", False)]
+    assert blocks(f'<div class="ad"><div class="ad">x</div>y</div>{article}<div class="ad">z</div>') == [("Text", True)]
+    assert len(blocks('<div class="ad">' * 20_000 + article + "</div>" * 20_000)) == 1
+
+
 def test_differencing(spark):
     chrome = "<div>Site name</div><div>Welcome to us</div>"
     rows = [(i, f"http://h{i % 2}.org/a/{i}", chrome + f"<p>Own text {i}</p><p>More of {i}</p>" + "<div>Imprint</div>") for i in range(8)]
