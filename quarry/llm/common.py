@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words as the contracts define them, for Java and DuckDB.
@@ -21,6 +22,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def most(df: DataFrame, n: str, room: int) -> DataFrame:
+    """The rows of `df` with the greatest `n`, `room` of them at most: those above the lowest eighth of a power of two that leaves room.
+
+    The driver sees a count for each such step, not the rows.
+    """
+    size = F.floor(F.log2(n) * 8).cast("int")
+    least = 1 << 30
+    for r in df.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect():
+        room -= r["c"]
+        if room < 0:
+            break
+        least = r["size"]
+    return df.where(size >= least)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of rows of which `column` has about `limit` bytes at most; a longer value is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()

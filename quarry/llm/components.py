@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.materialize import as_leaf
+from quarry.plans.materialize import as_leaf, drop_leaf
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,16 +19,20 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        near = as_leaf(near)
+        near = as_leaf(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
         far = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
         step = as_leaf(near.join(far, "to", "left").select("node", F.coalesce("next", "to").alias("label")))
+        end = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+        moved = edges.join(end("a"), "a").join(end("b"), "b").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
+        left = as_leaf(moved.where("a <> b").distinct())
+        drop_leaf(edges, near)
+        edges = left
         if labels is None:
             labels = step
         else:
             over = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = as_leaf(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
-        end = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
-        moved = edges.join(end("a"), "a").join(end("b"), "b").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
-        edges = as_leaf(moved.where("a <> b").distinct())
-    return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+            longer = as_leaf(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+            drop_leaf(labels, step)
+            labels = longer
+    drop_leaf(edges)
+    return labels if labels is not None else links.sparkSession.createDataFrame([], "node long, label long")

@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard self-join by prefixes under several global orders, and the groups it forms.
 
-Two sets as similar as asked share a token among the first few of each, whatever order all tokens are put
+Two sets as similar as asked share tokens among the first few of each, whatever order all tokens are put
 in. The first order puts tokens that many documents have last, so that the prefixes hold rare ones; an index
-over those prefixes gives candidates. The candidates' prefixes must meet under the other orders as well, and
-only pairs that pass them all are verified on the whole sets.
+over those prefixes gives candidates. The other orders are unrelated ones, by hash: a candidate pair stays only
+if its prefixes share enough tokens under each of them. Only pairs that pass all filters have their texts fetched
+and are verified on the whole sets.
 
 Documents with equal sets are one class. Within an index entry not all pairs are made: first each class meets
 the entry's hub, the class in which the token stands earliest. Then only classes that the links found so far
@@ -14,18 +15,19 @@ that order. The result is that of comparing all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, slices
+from quarry.llm.common import documents, most, slices
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, sets, signature
-from quarry.plans.materialize import as_leaf
+from quarry.plans.materialize import as_leaf, drop_leaf
 
 SLICE = 2 << 20
 #: A token in so many different sets among a task's next COUNTED bytes of text is reported; the MOST_FREQUENT reported
@@ -33,7 +35,13 @@ SLICE = 2 << 20
 REPORTED, COUNTED, MOST_FREQUENT = 2, 24 << 20, 500_000
 #: More candidate pairs than this for each class and the index is built again, with the tokens that cause most
 #: of them last; after REBUILDS of those all pairs are verified, however many.
-PAIRS_A_CLASS, REBUILDS = 200, 2
+PAIRS_A_CLASS, REBUILDS = 50, 2
+#: A pair's filters ask for one token in common, and one more for each so many tokens of the smaller set.
+FILTER_STEP = 16
+#: Rows with the texts of a hub and of so many classes it meets, or fewer, are verified by one task.
+SPOKES = 128
+#: Wanted documents are known to all tasks as a bitmap of so many bits, 4 MB at any size; the few that it lets through beside go in a join.
+BITS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -48,6 +56,13 @@ class Spec:
         """How many of a set's n tokens, in any order, hold one in common with every similar set."""
         return n - -(-self.percent * n // 100) + 1
 
+    def least(self, n: int) -> int:
+        """How many tokens a set of n shares at least with a similar one in `long_prefix` of both, if that is no larger."""
+        return min(1 + n // FILTER_STEP, -(-self.percent * n // 100))
+
+    def long_prefix(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + self.least(n)
+
     def needed(self, na: Column, nb: Column) -> Column:
         """The least number of tokens in common of similar sets of na and nb."""
         return F.ceil(self.percent * (na + nb) / (100.0 + self.percent) - 1e-9)
@@ -57,15 +72,15 @@ class Spec:
 
 
 class Order:
-    """A total order of all tokens: by how often they were reported, then by a hash."""
+    """The first total order of all tokens: by how often they were reported, then by a hash."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens)
         self.tokens, self.counts = tokens[at], counts[at]
 
-    def first(self, own: np.ndarray, p: int, seed: int) -> np.ndarray:
-        """The first `p` of the set `own` in the order of this `seed`."""
-        h = mix(own, seed)
+    def first(self, own: np.ndarray, p: int) -> np.ndarray:
+        """The first `p` of the set `own`."""
+        h = mix(own)
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
             rank = np.where(self.tokens[at] == own, self.counts[at], 0)
@@ -73,6 +88,21 @@ class Order:
         return own[np.argsort(h)[:p]]
 
 
+def head(own: np.ndarray, p: int, order: int) -> np.ndarray:
+    """The first `p` tokens of the set `own` in another order, by their hash's lower half.
+
+    Tokens in common stay in common, so that what is lost of a hash can only let more pairs through.
+    """
+    h = mix(own, order)
+    return (np.partition(h, p - 1)[:p] if p < len(h) else h).astype(np.uint32)
+
+
+def may_match(spec: Spec, na: int, nb: int, a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> bool:
+    """Whether the heads of two sets of na and nb share enough tokens under every order."""
+    least = min(spec.least(na), spec.least(nb))
+    return all(int(np.isin(x, y).sum()) >= least for x, y in zip(a, b, strict=True))
+
+
 def scan(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     """(doc_id, n, sig, token): a row a document with its set's size and identity (null if it is empty), and
     rows of null `sig` with a `token` and how many of a task's sets have it."""
@@ -107,17 +137,11 @@ def scan(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
 
 
 def frequent(reports: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of (token, n) that are reported most, with their sums: as many whole classes of n as MOST_FREQUENT
-    has room for. Which ones are left out changes the order, never the result."""
-    size = F.floor(F.log2("n") * 8).cast("int")
+    """The tokens of (token, n) that are reported most, with their sums, MOST_FREQUENT at most. Which ones are left
+    out changes the order, never the result."""
     sums = as_leaf(reports.groupBy("token").agg(F.sum("n").alias("n")))
-    room, least = MOST_FREQUENT, 1 << 30
-    for r in sums.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("size")).collect():
-        room -= r["c"]
-        if room < 0:
-            break
-        least = r["size"]
-    top = sums.where(size >= least).toArrow()
+    top = most(sums, "n", MOST_FREQUENT).toArrow()
+    drop_leaf(sums)
     return top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
 
 
@@ -133,7 +157,7 @@ def index(docs: DataFrame, text: str, spec: Spec, order: Order) -> DataFrame:
                 for own in sets(part.column(0).to_pylist(), spec.width):
                     if len(own) and (sig := signature(own)) not in seen:
                         seen.add(sig)
-                        first = order.first(own, spec.prefix(len(own)), 0)
+                        first = order.first(own, spec.prefix(len(own)))
                         tokens.append(first)
                         sigs.append(np.full(len(first), sig))
                         sizes.append(np.full(len(first), len(own), np.int32))
@@ -160,7 +184,9 @@ def _early(spec: Spec, n: Column, pos: Column, other: Column) -> Column:
 def entries(rows: DataFrame, spec: Spec) -> DataFrame:
     """(token, sig, n, pos, hub, hub_pos) of tokens that more than one class has, as far as they stand early
     enough to matter. `hub` is the upper bits of the class in which the token stands earliest. A token's rows
-    are combined map-side to three numbers."""
+    are combined map-side to three numbers. A token goes unseen where all classes that have it agree in those bits and
+    have it at the same place: a chance of 2^-44 a token.
+    """
     last = (1 << (63 - CLASS_BITS)) - 1
     place = F.shiftleft(F.least("pos", F.lit(last)).cast("long"), CLASS_BITS).bitwiseOR(_upper(F.col("sig")))
     seen = rows.groupBy("token").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("n").alias("least")).where("lo <> hi")
@@ -174,7 +200,7 @@ def star_pairs(found: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
     """(a, b): classes with the hubs of their entries, where similar sets may first meet there."""
     hubs = classes.select(F.col("sig").alias("other"), F.col("n").alias("m"), _upper(F.col("sig")).alias("hub"))
     n, m = F.col("n"), F.col("m")
-    met = found.where(_upper(F.col("sig")) != F.col("hub")).join(hubs, "hub")
+    met = found.join(hubs, "hub").where("sig <> other")
     met = met.where((100 * F.least(n, m) >= spec.percent * F.greatest(n, m)) & _early(spec, n, F.col("pos"), m) & _early(spec, m, F.col("hub_pos"), n))
     return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
@@ -202,55 +228,119 @@ def cross_pairs(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame:
     return met.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct()
 
 
-def texts_of(docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, text): a text of each class in `wanted` (sig), fetched by the class's smallest id."""
-    kinds = pa.schema([("sig", pa.int64()), ("text", pa.string())])
-    reps = as_leaf(classes.join(wanted, "sig").select(F.col("least").alias("id")).distinct())
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for the `slot` of each of `ids`, as bytes."""
+    rows = ids.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _slot(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(BITS - 1)) + 1
+
+
+def fetched(docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame, wanted: DataFrame, kind: str, make: Callable[[np.ndarray, str], object]) -> DataFrame:
+    """(sig, made): what `make` gives, of the type `kind`, for the set and text of each class in `wanted` (sig), and of some more.
+
+    A class is fetched by its smallest id, or where none has an id from the rows without one. Nothing but what is
+    made of wanted documents is shuffled.
+    """
+    kinds = pa.schema([("sig", pa.int64()), ("made", pa.string() if kind == "string" else pa.binary())])
+    reps = as_leaf(classes.join(wanted, "sig").select(F.col("least").alias("id")))
+    bits = _bitmap(reps.where("id IS NOT NULL").select(_slot(F.col("id")).alias("slot")))
+    nulls = not reps.where("id IS NULL").isEmpty()
+    drop_leaf(reps)
+    k = F.col(f"`{key}`").cast("long")
+    rows = docs.select(F.when(k.isNull(), F.lit(0).cast("long")).otherwise(_slot(k)).alias("slot"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                own = part.column(0).to_pylist()
-                out: dict[int, str] = {}
+            slot = batch.column(0).to_numpy()
+            at = np.maximum(slot - 1, 0)
+            keep = np.where(slot == 0, nulls, (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+            for part in slices(batch.filter(pa.array(keep)), "text", SLICE):
+                own = part.column(1).to_pylist()
+                out: dict[int, object] = {}
                 for t, s in zip(own, sets(own, spec.width), strict=True):
                     if len(s) and (g := signature(s)) not in seen:
                         seen.add(g)
-                        out[g] = t
-                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], schema=kinds)
+                        out[g] = make(s, t)
+                yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), kinds[1].type)], schema=kinds)
+
+    return rows.mapInArrow(run, f"sig long, made {kind}")
+
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    # Merged at every size: whether the ids would fit a broadcast depends on how many copies there are.
-    some = rows.join(reps.hint("merge"), "id", "left_semi").select("text")
-    if not reps.where("id IS NULL").isEmpty():
-        some = some.union(rows.where("id IS NULL").select("text"))
-    found = some.mapInArrow(run, "sig long, text string")
-    return as_leaf(found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame, order: Order) -> DataFrame:
-    """(a, b, linked) for each of `pairs`, from the whole sets."""
-    known = texts_of(docs, key, text, spec, classes, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
-    side = lambda c: known.select(F.col("sig").alias(c), F.col("text").alias(f"{c}_text"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
-    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose prefixes share enough tokens under every order but the first."""
+
+    def heads(own: np.ndarray, _: str) -> bytes:
+        p = spec.long_prefix(len(own))
+        return np.concatenate([np.array([len(own)], np.uint32), *[head(own, p, k) for k in range(1, spec.orders)]]).tobytes()
+
+    wanted = as_leaf(_both(pairs))
+    known = fetched(docs, key, text, spec, classes, wanted, "binary", heads)
+    known = as_leaf(known.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("made").alias("made")))
+    side = lambda c: known.select(F.col("sig").alias(c), F.col("made").alias(f"{c}_head"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_head", "b_head")
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "a_text", SLICE):
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                needed = dict(zip(a, part.column(2).to_pylist(), strict=True)) | dict(zip(b, part.column(3).to_pylist(), strict=True))
-                own = dict(zip(needed, sets(list(needed.values()), spec.width), strict=True))
-                heads = {g: [order.first(s, spec.prefix(len(s)), k) for k in range(1, spec.orders)] for g, s in own.items()}
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([similar(own[x], own[y], heads[x], heads[y]) for x, y in zip(a, b, strict=True)])], schema=kinds)
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                keep.append(may_match(spec, int(x[0]), int(y[0]), *[v[1:].reshape(spec.orders - 1, -1) for v in (x, y)]))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=kinds).filter(pa.array(keep, pa.bool_()))
 
-    def similar(x: np.ndarray, y: np.ndarray, first_x: list, first_y: list) -> bool:
-        if any(not len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(first_x, first_y, strict=True)):
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return spec.linked(both, len(x) + len(y) - both)
+    out = as_leaf(met.mapInArrow(run, "a long, b long"))
+    drop_leaf(wanted, known)
+    return out
 
-    return as_leaf(both.mapInArrow(run, "a long, b long, linked boolean"))
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) that are linked, from the whole sets.
+
+    Of each pair the class with more pairs is the hub. Its pairs are dealt out in groups of SPOKES; a group's task gets
+    the hub's text once and then one text a pair, of which it holds one slice at a time.
+    """
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+    degree = as_leaf(ends.groupBy("sig").agg(F.count(F.lit(1)).alias("d")))
+    of = lambda c: degree.select(F.col("sig").alias(c), F.col("d").alias(f"{c}_d"))
+    first = F.struct(F.col("a_d").alias("d"), F.col("a").alias("sig")) >= F.struct(F.col("b_d").alias("d"), F.col("b").alias("sig"))
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("spoke"), F.greatest("a_d", "b_d").alias("d"))
+    dealt = as_leaf(dealt.select("hub", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("d") / SPOKES)).alias("part"), "spoke"))
+    needs = dealt.select("hub", "part").distinct().select("hub", "part", F.lit(False).alias("meets"), F.col("hub").alias("sig")).union(dealt.select("hub", "part", F.lit(True), "spoke"))
+    texts = fetched(docs, key, text, spec, classes, degree.select("sig"), "string", lambda _, t: t)
+    texts = texts.groupBy("sig").agg(F.first("made").alias("text"))
+    rows = needs.join(texts, "sig").select("hub", "part", "meets", "sig", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "meets")
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                a, b = [], []
+                columns = [part.column(i).to_pylist() for i in range(4)]
+                for h, k, meets, sig, s in zip(*columns, sets(part.column(4).to_pylist(), spec.width), strict=True):
+                    if not meets:
+                        hub, own = (h, k), s
+                    elif hub == (h, k):
+                        both = len(np.intersect1d(own, s, assume_unique=True))
+                        if spec.linked(both, len(own) + len(s) - both):
+                            a.append(min(h, sig))
+                            b.append(max(h, sig))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kinds)
+
+    out = as_leaf(rows.mapInArrow(run, "a long, b long"))
+    drop_leaf(degree, dealt)
+    return out
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:  # noqa: B008
@@ -258,41 +348,61 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sp
 
     Rows with equal sets, and rows whose sets are similar, are linked; component_id is the smallest id that
     links reach (null ids don't count unless there is no other). Rows without a word have no shingles and are
-    alone: component_id is their own id. Repeated rows and repeated ids are rows of their own. Two different
-    sets are taken for equal with a chance of 2^-64 a pair. Other columns are not looked at.
+    alone: component_id is their own id. Repeated rows and repeated ids are rows of their own. An empty table gives
+    an empty result. Texts of any length are read whole, in bounded pieces; what a task holds of one text grows by its
+    words, at about 50 bytes each. Two different sets are taken for equal with a chance of 2^-64 a pair, and a
+    token that two classes share is missed with a chance of 2^-44. Other columns are not looked at.
     """
     seen = scan(docs, key, text, spec)
-    members = seen.where("token IS NULL").select("doc_id", "n", "sig")
+    members = as_leaf(seen.where("token IS NULL").select("doc_id", "n", "sig"))
     tokens, counts = frequent(seen.where("token IS NOT NULL").select("token", "n"))
+    drop_leaf(seen)
     classes = as_leaf(members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
     n_classes = classes.count()
-    tried = links = labels = None
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        left = filtered(pairs, docs, key, text, spec, classes) if spec.orders > 1 else pairs
+        out = verified(left, docs, key, text, spec, classes)
+        if left is not pairs:
+            drop_leaf(left)
+        return out
+
+    tried, links = [], []
+    every = lambda tables: reduce(DataFrame.union, tables)
     for again in range(REBUILDS + 1):
-        order = Order(tokens, counts)
-        found = entries(as_leaf(index(docs, text, spec, order)), spec)
-        done = (lambda p: p) if tried is None else (lambda p, t=tried: p.join(t, ["a", "b"], "left_anti"))
-        result = verified(as_leaf(done(star_pairs(found, classes, spec))), docs, key, text, spec, classes, order)
-        tried = result if tried is None else as_leaf(tried.union(result))
-        labels = components(tried.where("linked"))
+        rows = index(docs, text, spec, Order(tokens, counts))
+        found = entries(rows, spec)
+        drop_leaf(rows)
+        pairs = star_pairs(found, classes, spec)
+        tried.append(as_leaf(pairs.join(every(tried), ["a", "b"], "left_anti") if tried else pairs))
+        links.append(links_of(tried[-1]))
+        labels = components(every(links))
         rows = as_leaf(labelled(found, labels))
         opened = as_leaf(open_entries(rows))
+        drop_leaf(found)
         total = opened.agg(F.sum("pairs")).first()[0] or 0
         if total <= PAIRS_A_CLASS * n_classes or again == REBUILDS:
             break
-        more = opened.orderBy(F.desc("pairs"), "token").limit(MOST_FREQUENT // 10).toArrow()
+        more = most(opened, "pairs", MOST_FREQUENT // 10).toArrow()
+        drop_leaf(rows, opened, labels)
         known = dict(zip(tokens.tolist(), counts.tolist(), strict=True))
         least = max(known.values(), default=0)
         for t, c in zip(more["token"].to_numpy().view(np.uint64).tolist(), more["pairs"].to_pylist(), strict=True):
             known[t] = max(known.get(t, 0), least + 1 + int(c).bit_length())
         tokens, counts = np.fromiter(known, np.uint64, len(known)), np.fromiter(known.values(), np.int64, len(known))
     if total:
-        rest = as_leaf(cross_pairs(rows, opened, spec).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        rest = as_leaf(cross_pairs(rows, opened, spec).join(every(tried), ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = tried.where("linked").select("a", "b").union(verified(rest, docs, key, text, spec, classes, order).where("linked").select("a", "b"))
-            labels = components(links)
-    classes = as_leaf(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("label")))
-    groups = as_leaf(classes.groupBy("label").agg(F.min("least").alias("component_id")))
-    named = as_leaf(classes.join(groups, "label").select("sig", "component_id"))
+            links.append(links_of(rest))
+            drop_leaf(labels)
+            labels = components(every(links))
+        drop_leaf(rest)
+    drop_leaf(rows, opened, *tried, *links)
+    own = as_leaf(classes.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("sig", "least", F.coalesce("label", "sig").alias("label")))
+    drop_leaf(classes, labels)
+    groups = as_leaf(own.groupBy("label").agg(F.min("least").alias("component_id")))
+    named = as_leaf(own.join(groups, "label").select("sig", "component_id"))
+    drop_leaf(own, groups)
     return members.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

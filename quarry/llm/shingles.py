@@ -15,6 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
+_ALL = (1 << 64) - 1
 _STEP = U(0xD6E8FEB86659FD93)
 
 
@@ -26,6 +27,8 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+#: Characters, and bytes, that are worked on at once. Shorter texts are put together, a longer one is taken in parts.
+CHARS = 1 << 18
 _known = [np.zeros(0, np.uint64)] * 2
 
 
@@ -39,24 +42,53 @@ def _powers(n: int) -> list[np.ndarray]:
     return [p[:n] for p in _known]
 
 
+def _runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each run of other than white space begins, its length, its bytes' polynomial)."""
+    buf = _LOWER[buf]
+    inside = np.concatenate([[False], ~_SPACE[buf], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    # The polynomial is a difference of prefix sums, moved back to where the run begins.
+    power, back = _powers(len(buf) + 1)
+    upto = np.concatenate([[U(0)], np.cumsum((buf.astype(np.uint64) + U(1)) * power[:-1])])
+    return start, end - start, (upto[end] - upto[start]) * back[start]
+
+
+def _long(raw: bytes) -> np.ndarray:
+    """The hash of each word of one text, CHARS bytes at a time; a word may lie across the cuts."""
+    out = []
+    value, length = 0, 0  # of the word that reached the last cut
+    view = memoryview(raw)
+    for at in range(0, len(raw), CHARS):
+        buf = np.frombuffer(view[at : at + CHARS], np.uint8)
+        start, size, h = _runs(buf)
+        if length and (not len(start) or start[0]):
+            out.append(mix(np.array([value], np.uint64) + U(length)))
+            value, length = 0, 0
+        if not len(start):
+            continue
+        if length:
+            h[0] = U((value + int(h[0]) * pow(_BASE, length, 1 << 64)) & _ALL)
+            size[0] += length
+            value, length = 0, 0
+        if not _SPACE[buf[-1]]:
+            value, length = int(h[-1]), int(size[-1])
+            h, size = h[:-1], size[:-1]
+        out.append(mix(h + size.astype(np.uint64)))
+    if length:
+        out.append(mix(np.array([value], np.uint64) + U(length)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts; how many each text has)."""
     raw = [b"" if t is None else t.encode() for t in texts]
+    if len(raw) == 1 and len(raw[0]) > CHARS:
+        h = _long(raw[0])
+        return h, np.array([len(h)])
     size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    buf = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    space = _SPACE[buf]
-    inside = np.concatenate([[False], ~space])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]  # every text ends in white space
-    # A word's hash is its bytes' polynomial: a difference of prefix sums, moved back to where the word begins.
-    power, back = _powers(len(buf))
-    upto = np.concatenate([[U(0)], np.cumsum((buf.astype(np.uint64) + U(1)) * power)])
-    h = mix((upto[end] - upto[start]) * back[start] + (end - start).astype(np.uint64))
-    return h, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
-
-
-#: Characters that are worked on at once; a longer text is worked on alone.
-CHARS = 1 << 18
+    start, length, h = _runs(np.frombuffer(b"\n".join(raw) + b"\n", np.uint8))
+    return mix(h + length.astype(np.uint64)), np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
 
 
 def sets(texts: list[str | None], width: int) -> list[np.ndarray]:

@@ -1,10 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from oracle import assert_same, duck
 
 from quarry.llm import jaccard_join as J
+from quarry.llm import shingles
+from quarry.llm.common import most
 from quarry.llm.components import components
 from quarry.llm.shingles import sets
 
@@ -81,6 +84,67 @@ def test_sets_are_those_of_words():
     assert not set(got[8].tolist()) & set(got[9].tolist())
 
 
+def test_filters_lose_no_similar_pair():
+    """Sets that are as similar as asked pass the filters of every order; sets that share a passage only don't."""
+    r = np.random.default_rng(5)
+    for spec in (J.Spec(), J.Spec(5, 80, 4)):
+        heads = lambda s: [J.head(s, spec.long_prefix(len(s)), k) for k in range(1, spec.orders)]  # noqa: B023, E731
+        passed = {True: [], False: []}
+        for n in [1, 2, 3, 5, 7, 12, 20, 60, 300] * 40:
+            own = r.choice(1 << 40, n, replace=False).astype(np.uint64)
+            other = np.unique(np.concatenate([own[r.integers(0, max(1, n // 6)) :], r.choice(1 << 40, r.integers(0, max(1, n // 6)) + 1).astype(np.uint64)]))
+            some = np.unique(np.concatenate([own[: n // 5], r.choice(1 << 40, n).astype(np.uint64)]))
+            for x in (other, some):
+                both = len(np.intersect1d(own, x))
+                passed[spec.linked(both, n + len(x) - both)].append(J.may_match(spec, n, len(x), heads(own), heads(x)))
+        assert all(passed[True]) and len(passed[True]) > 50
+        assert sum(passed[False]) < 0.5 * len(passed[False])
+
+
+def test_filters_decide_before_texts_are_fetched(spark):
+    """Of pairs that share a rare passage, those that are unlike don't reach the verification."""
+    r = random.Random(2)
+    word = lambda: "w" + str(r.randint(0, 10**6))
+    passage = [word() for _ in range(12)]
+    rows = [(i, " ".join(passage + [word() for _ in range(150)])) for i in range(12)]
+    rows += [(100, rows[0][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spec = J.Spec()
+    seen = J.scan(docs, "doc_id", "text", spec).where("token IS NULL")
+    classes = seen.groupBy("sig").agg(J.F.min("doc_id").alias("least"), J.F.first("n").alias("n"))
+    sigs = {x.doc_id: x.sig for x in seen.collect()}
+    pairs = spark.createDataFrame([(min(sigs[i], sigs[j]), max(sigs[i], sigs[j])) for i in sigs for j in sigs if i < j], "a long, b long")
+    assert [set(x) for x in J.filtered(pairs, docs, "doc_id", "text", spec, classes).collect()] == [{sigs[0], sigs[100]}]
+    assert [set(x) for x in J.verified(pairs, docs, "doc_id", "text", spec, classes).collect()] == [{sigs[0], sigs[100]}]
+
+
+def test_hubs_with_many_spokes(spark, monkeypatch):
+    monkeypatch.setattr(J, "SPOKES", 3)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i:])) for i in range(40)] + [(i, " ".join(words)) for i in (40, 41, None)]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_long_texts_in_parts(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abCD é\n\t 漢xyz  ") for _ in range(r.randint(0, 2000))) for _ in range(40)] + ["x" * 900, "a" * 40 + " " + "b" * 700]
+    whole = [sets([t], 4)[0].tolist() for t in texts]
+    monkeypatch.setattr(shingles, "CHARS", 37)
+    assert [sets([t], 4)[0].tolist() for t in texts] == whole
+    monkeypatch.undo()
+    long = "some words of a text " * 2_500_000  # 50 MB
+    assert len(sets([long], 4)[0]) == 5 and sets(["", long, "a"], 4)[1].tolist() == sets([long[:84]], 4)[0].tolist()
+
+
+def test_most(spark):
+    rows = [(i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [100, 1000, 1000])]
+    df = spark.createDataFrame(rows, "k long, n long")
+    assert sorted(x.n for x in most(df, "n", 22).collect()) == [100, 1000, 1000]
+    assert most(df, "n", 23).count() == 23 and most(df, "n", 1000).count() == 73 and most(df, "n", 1).count() == 0
+    assert most(df.limit(0), "n", 5).count() == 0
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(1000, x) for x in range(1001, 1100)] + [(r.randint(2000, 2100), r.randint(2000, 2100)) for _ in range(80)]
