@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ BINS, LOWEST = 1000, 0.25
 CHANCE = 0.08
 SLICE = 1 << 20
 CHUNK = 1 << 17
+#: Where one part of the table ends and the next begins is told from about so many keys, of two numbers each.
+SAMPLE = 200_000
 
 _PLOGP = np.rint(np.array([0.0] + [c * np.log2(c) for c in range(1, WINDOW + 1)]) * (1 << 20)).astype(np.int64)
 _STEP = np.diff(_PLOGP)
@@ -190,38 +193,66 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     return ranks(counts)
 
 
+class Bounds:
+    """The first keys of parts, in ascending order. A key is an id, null ids first, and a hash."""
+
+    def __init__(self, keys: list[tuple[bool, int, int]]):
+        keys = sorted(set(keys))
+        self.parts = len(keys)
+        self.none = sum(not k[0] for k in keys)
+        self.ids = np.array([k[1] for k in keys[self.none :]], np.int64)
+        self.ties = np.array([k[2] for k in keys], np.int64)
+
+    def place(self, known: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Twice the part of each key, and one more where it is the part's first key."""
+        upto, first = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+
+        def among(own: np.ndarray, lo: int, hi: int) -> None:
+            at = np.searchsorted(self.ties[lo:hi], ties[own], "right")
+            upto[own] = lo + at
+            first[own] = (at > 0) & (self.ties[np.maximum(lo + at - 1, 0)] == ties[own])
+
+        own = np.flatnonzero(~known)
+        among(own, 0, self.none)
+        own = np.flatnonzero(known)
+        lo, hi = (self.none + np.searchsorted(self.ids, ids[own], side) for side in ("left", "right"))
+        upto[own] = lo
+        for at in np.unique(lo[hi > lo]).tolist():  # keys of the ids that stand in a bound
+            these = (lo == at) & (hi > lo)
+            among(own[these], at, int(hi[these][0]))
+        return 2 * np.maximum(upto - 1, 0) + first
+
+
+def bounds(keys: DataFrame, parts: int) -> Bounds:
+    """Of `parts` parts with about equally many of the rows of `keys` (known, id, tie), from a sample of SAMPLE of them. The least key is the first."""
+    n, least = keys.agg(F.count(F.lit(1)), F.min(F.struct("known", "id", "tie"))).first()
+    if not n:
+        return Bounds([(False, 0, 0)])
+    rows = sorted(map(tuple, keys.where(F.rand(11) < min(1.0, SAMPLE / n)).collect()))
+    return Bounds([tuple(least), *[rows[i * len(rows) // parts] for i in range(1, parts) if rows]])
+
+
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(part, look, doc_id, text), each part in ascending order of (doc_id, hash of text), null ids first.
 
     The next row is the next document; a part's last one, marked `look`, is the first of the next part, and
-    of the first part after the last. Parts are runs of equally wide intervals of ids with about as many rows
-    each; the driver sees counts and first ids of parts and intervals. The table is dealt out once.
+    of the first part after the last. Parts have about equally many rows, whatever the ids are; rows equal in id and
+    text share one. The driver and each task know two numbers a part. The table is dealt out once.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    lo, hi, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1, -(-(hi - lo + 1) // (64 * parts)))
-    interval = F.when(F.col("doc_id").isNull(), 0).otherwise((1 + F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width))).cast("int"))
-    each = {r["i"]: (r["n"], r["m"]) for r in ids.groupBy(interval.alias("i")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("m")).collect()}
-    part_of, firsts, held = [0] * (max(each, default=0) + 1), [], parts
-    for i in range(len(part_of)):
-        if i in each:
-            if not firsts or held >= n / parts:
-                firsts.append(each[i][1])
-                held = 0
-            held += each[i][0]
-        part_of[i] = max(0, len(firsts) - 1)
-    firsts = firsts or [None]
-    number = lambda xs, kind: F.array(*[F.lit(x).cast(kind) for x in xs])
-    part = F.element_at(number(part_of, "int"), interval + 1)
-    rows = rows.withColumn("part", part)
-    ahead = F.col("doc_id").eqNullSafe(F.element_at(number(firsts, "long"), F.col("part") + 1))
-    places = F.when(ahead, F.array(F.struct(F.col("part"), F.lit(False).alias("look")), F.struct(F.pmod(F.col("part") - 1, F.lit(len(firsts))).alias("part"), F.lit(True).alias("look")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("look"))))
-    rows = rows.select(F.explode(places).alias("at"), "doc_id", "text").select("at.part", "at.look", "doc_id", "text")
-    return rows.repartitionById(len(firsts), F.col("part")).withColumn("tie", F.xxhash64("text")).sortWithinPartitions("part", "look", "doc_id", "tie", "text").select("part", "look", "doc_id", "text")
+    k, t = F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(k.isNotNull().alias("known"), F.coalesce(k, F.lit(0).cast("long")).alias("id"), F.xxhash64(t).alias("tie"), t.alias("text"))
+    edge = bounds(rows.select("known", "id", "tie"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    @F.pandas_udf("long")
+    def place(known: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(edge.place(known.to_numpy(), ids.to_numpy(), ties.to_numpy()))
+
+    rows = rows.withColumn("place", place("known", "id", "tie"))
+    part = F.shiftright("place", 1).cast("int")
+    at = lambda p, look: F.struct(p.alias("part"), F.lit(look).alias("look"))
+    both = F.array(at(part, False), at(F.pmod(part - 1, F.lit(edge.parts)), True))
+    rows = rows.select(F.explode(F.when(F.col("place") % 2 == 1, both).otherwise(F.array(at(part, False)))).alias("at"), F.when(F.col("known"), F.col("id")).alias("doc_id"), "tie", "text").select("at.part", "at.look", "doc_id", "tie", "text")
+    return rows.repartitionById(edge.parts, F.col("part")).sortWithinPartitions("part", "look", "doc_id", "tie").select("part", "look", "doc_id", "text")
 
 
 COLUMNS = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -233,7 +264,8 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     `edited` is the text with its last half replaced by as much of the next document's beginning, or all of it.
     The next document follows in ascending order of (id, hash of text); null ids come first, and the first
     follows the last. Null texts count as empty, and two empty texts are alike by 1. Rows that repeat follow
-    each other. Equal texts have equal fingerprints within one run.
+    each other. Ids may be any longs. Equal texts have equal fingerprints within one run. An empty table gives an empty
+    result. A task works on one text as a whole, at about 100 bytes of memory for each of its own.
     """
     rank = rarity(docs, text)
     names = [c.split()[0] for c in COLUMNS.split(", ")]

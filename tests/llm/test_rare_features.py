@@ -44,6 +44,109 @@ def test_digests_depend_on_the_text_alone():
     assert R.likeness(R.Digest.parse(alone[5]), R.Digest.parse(alone[4])) == 0
 
 
+def brute_digest(text, rank):
+    """(number of features, the filters' bits as sets), one window and one feature at a time."""
+    b = text.encode()
+    value = [int(rank[x]) for x in brute_bins(text)]
+    chosen = [0] * len(value)
+    for start in range(1 - R.AROUND, len(value)):
+        around = [(value[i], i) for i in range(max(0, start), min(len(value), start + R.AROUND))]
+        if around:
+            chosen[min(around)[1]] += 1
+    found = [i for i, c in enumerate(chosen) if c >= R.OFTEN and value[i] < R._NONE]
+    hashes = []
+    for i in found:
+        h = 0
+        for c in b[i : i + R.WINDOW]:
+            h = (h * 0x100000001B3 + c) % 2**64
+        hashes.append(h)
+    if not found and b:
+        hashes = [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")]
+    filters = []
+    for i, h in enumerate(hashes):
+        if i % R.FILTER_FEATURES == 0:
+            filters.append(set())
+        h = int(R.mix(np.array([h], np.uint64), 9)[0])
+        filters[-1] |= {h >> 11 * k & R.FILTER_BYTES * 8 - 1 for k in range(R.HASHES)}
+    return len(hashes), filters
+
+
+def brute_likeness(a, b):
+    if not a[0] or not b[0]:
+        return float(a[0] == b[0])
+    if (a[0], len(a[1])) > (b[0], len(b[1])):
+        a, b = b, a
+    total = 0
+    for i, x in enumerate(a[1]):
+        held = min(R.FILTER_FEATURES, a[0] - i * R.FILTER_FEATURES)
+        best = 0
+        for y in b[1]:
+            chance, most = len(x) * len(y) / (R.FILTER_BYTES * 8), min(len(x), len(y))
+            floor = chance + R.CHANCE * (most - chance)
+            best = max(best, min(1, max(0, (len(x & y) - floor) / max(most - floor, 1e-9))))
+        total += best * held
+    return total / a[0]
+
+
+def test_digests_against_brute_force():
+    r = random.Random(7)
+    texts = [prose(r, n) for n in (1, 4, 30, 150, 900)] + ["", "a" * 300, "\0" * 60, "tab\tand é " * 20]
+    texts += [texts[3][:400] + texts[4][:400], texts[4][1000:]]
+    rank = R.ranks(R.histogram(texts))
+    made, want = R.digests(texts, rank), [brute_digest(t, rank) for t in texts]
+    for d, (n, filters) in zip(made, want, strict=True):
+        assert d.features == n
+        assert [set(np.flatnonzero(np.unpackbits(x)).tolist()) for x in d.bits] == filters
+    for i, a in enumerate(made):
+        for j, b in enumerate(made):
+            assert abs(R.likeness(a, b) - brute_likeness(want[i], want[j])) < 1e-9
+    assert len(made[4].bits) > 1
+
+
+def neighbours(rows):
+    """Multiset of (id, text, text of the next row), in the order of id, nulls first, and hash of text."""
+    return sorted((d is not None, d or 0, t, n) for (d, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True))
+
+
+def test_dealing(spark):
+    """Parts are even whatever the ids are, and each row still meets its next one."""
+    r = random.Random(9)
+    ends = [-(2**63), -(2**63) + 1, 2**63 - 1, 0, -1]
+    tables = {
+        "outlier": [(i, f"text {i}") for i in range(2000)] + [(2**62, "far")],
+        "hashed": [(r.randrange(-(2**63), 2**63), f"text {i}") for i in range(2000)] + [(x, "end") for x in ends],
+        "none": [(None, f"text {i}") for i in range(1500)] + [(i, "x") for i in range(500)],
+        "one id": [(7, f"text {i}") for i in range(2000)] + [(None, "n"), (8, "m")],
+        "rows": [(5, "same")] * 30 + [(6, "other"), (None, "none")],
+    }
+    for name, rows in tables.items():
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        dealt = R.with_next(df, "doc_id", "text").collect()
+        size = {}
+        for x in dealt:
+            size[x.part] = size.get(x.part, 0) + (not x.look)
+        assert sum(size.values()) == len(rows)
+        if name != "rows":
+            assert len(size) == 4 and max(size.values()) < 0.4 * len(rows), (name, size)
+        order = [tuple(x) for x in df.selectExpr("doc_id", "text").orderBy(R.F.col("doc_id").asc_nulls_first(), R.F.xxhash64("text")).collect()]
+        after = []
+        for p in size:
+            own = [x for x in dealt if x.part == p]
+            after += [(x.doc_id is not None, x.doc_id or 0, x.text, y.text) for x, y in zip(own, own[1:], strict=False) if not x.look]
+        assert sorted(after) == neighbours(order), name
+
+
+def test_places_against_loops():
+    r = random.Random(4)
+    keys = [(r.random() < 0.8, r.choice([0, 1, 5, 2**63 - 1, -(2**63)]), r.randrange(-3, 4)) for _ in range(500)]
+    keys = [(k, i if k else 0, t) for k, i, t in keys]
+    edge = R.Bounds([min(keys), *r.sample(keys, 9)])
+    firsts = sorted({min(keys), *[(bool(i >= edge.none), int(edge.ids[i - edge.none]) if i >= edge.none else 0, int(edge.ties[i])) for i in range(edge.parts)]})
+    got = edge.place(*[np.array([k[i] for k in keys]) for i in range(3)])
+    for k, p in zip(keys, got.tolist(), strict=True):
+        assert p == 2 * (sum(f <= k for f in firsts) - 1) + (k in firsts)
+
+
 def test_rows(spark):
     r = random.Random(3)
     rows = [(i * 7 % 100, prose(r, r.randint(20, 200)), "x") for i in range(100)] + [(None, "no id here " * 9, "x"), (None, None, "x"), (40, "", "x"), (40, "same id twice", "x"), (40, "same id twice", "x"), (10**15, "far away", "x"), (101, "long text " * 30_000, "x")]
