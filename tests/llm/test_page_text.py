@@ -1,8 +1,12 @@
 import html
 import random
 import re
+import time
 
-from quarry.llm.page_text import blocks, common, main_text, page_text, query
+import numpy as np
+
+from quarry.llm import page_text as P
+from quarry.llm.page_text import blocks, common, page_text, query
 
 
 def lcs(a, b):
@@ -23,6 +27,37 @@ def test_common_is_longest():
         assert all(a[i] in rest for i in got)
 
 
+def test_halved_alignments(monkeypatch):
+    """Tables beyond CELLS are halved; the result is as long."""
+    monkeypatch.setattr(P, "CELLS", 6)
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 14))] for _ in range(2))
+        got = sorted(common(a, b))
+        rest = iter(b)
+        assert len(got) == lcs(a, b) and all(a[i] in rest for i in got)
+    monkeypatch.undo()
+    x = np.arange(6000)
+    began = time.time()
+    assert len(P._aligned(x, np.concatenate([x[3000:], x[:3000]]))) == 3000
+    assert time.time() - began < 20
+
+
+def test_linear_time():
+    for bad in ('<a "x ', "<a 'x ", "<", "<!", "</", "<p", '<div class="ad">', "<!-- <p>", "<b class='ad'>x<"):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.time()
+            blocks(bad * (n // len(bad)))
+            blocks("<p>a</p>" + bad * (n // len(bad)) + "<p>z</p>")
+            took.append(time.time() - began)
+        assert took[1] < max(1, 20 * took[0]), (bad, took)
+    began = time.time()
+    blocks('<a "x ' * (1_000_000 // 6))
+    assert time.time() - began < 1
+    assert blocks('<p>one<p title="a>b">two<p title="x>three') == [("one", False), ("two", False), ("three", False)]
+
+
 def test_blocks():
     page = """<!DOCTYPE html><html class="menu"><head><title>T</title></head><body class="nav"><nav><ul><li>menu</li></ul></nav><header>top</header>
     <div class="side-bar ad">buy <div>more</div> now</div><!-- c > --><script>var t="</p>";</script><article><header><h1>Head  line</h1></header><p>One &amp; two&nbsp;&#x41;<br>three<p><b>Four
@@ -57,7 +92,6 @@ def test_differencing(spark):
     assert by[20] == "alone" and by[21] == by[22] == "" and by[None] == "z"
     assert by[23] == by[24] == "Same in both" and by[25].count("\n") == 4999
     assert page_text(df.limit(0)).count() == 0
-    assert main_text([("a", False), ("b", False)], [("b", False), ("c", False)]) == "a"
 
 
 def page(own, top="Menu", end="Imprint"):
@@ -100,3 +134,32 @@ def test_query(spark, sf_dir):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id].html, re.S)[1]
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def story(own, end="Share this story", also=""):
+    return f"<nav>m</nav><article><h1>Title {own}</h1><p>Text of {own}.</p>{also}<p>{end}</p></article><footer>f</footer>"
+
+
+def test_site_lines_in_articles(spark):
+    """What most pages of a host have in their articles goes; sentences that some articles share stay."""
+    quote = "<p>A sentence that is quoted.</p>"
+    rows = [(i, f"http://a.org/{i}", story(i, also=quote if i < 3 else "")) for i in range(8)]
+    rows += [(20 + i, f"http://b.org/{i}", story(i)) for i in range(3)]  # too few to tell
+    rows += [(30 + i, f"http://c.org/{i}", story(i, end=f"End {i // 3}")) for i in range(9)]  # no line on more than half
+    rows += [(40 + i, "http://d.org/x", story("x")) for i in range(9)]  # copies of one page
+    rows += [(50 + i, f"http://e.org/{i}?q={i}", story(i)) for i in range(4)] + [(54, "http://e.org/0?q=7", story(0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in page_text(df).collect()}
+    for i, u, h in rows:
+        want = [x for x in re.findall("<(?:p|h1)>(.*?)</", h) if x != "Share this story" or u[7] in "bd"]
+        assert by[i] == "\n".join(want), (i, u)
+    by = {r.page_id: r.text for r in page_text(df, site_paths=100).collect()}
+    assert all(by[i] == "\n".join(re.findall("<(?:p|h1)>(.*?)</", h)) for i, _, h in rows)
+
+
+def test_repeated_rows_are_alike(spark):
+    rows = [(i, "http://a.org/x", page("Own one")) for i in range(3)] + [(9, "http://a.org/y", page("Own two"))] + [(None, "http://a.org/x", page("Own one"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 2, 5):
+        got = page_text(df.repartition(n)).collect()
+        assert sorted(x.text for x in got) == ["Own one"] * 4 + ["Own two"]
