@@ -29,8 +29,8 @@ BINS, LOWEST = 1000, 0.25
 CHANCE = 0.08
 SLICE = 1 << 20
 CHUNK = 1 << 17
-#: Where one part of the table ends and the next begins is told from about so many keys, of two numbers each.
-SAMPLE = 200_000
+#: Where one part of the table ends and the next begins is told from about so many keys a part, of two numbers each.
+SAMPLE = 32
 
 _PLOGP = np.rint(np.array([0.0] + [c * np.log2(c) for c in range(1, WINDOW + 1)]) * (1 << 20)).astype(np.int64)
 _STEP = np.diff(_PLOGP)
@@ -224,11 +224,11 @@ class Bounds:
 
 
 def bounds(keys: DataFrame, parts: int) -> Bounds:
-    """Of `parts` parts with about equally many of the rows of `keys` (known, id, tie), from a sample of SAMPLE of them. The least key is the first."""
+    """Of `parts` parts with about equally many of the rows of `keys` (known, id, tie), from a sample of about SAMPLE a part. The least key is the first."""
     n, least = keys.agg(F.count(F.lit(1)), F.min(F.struct("known", "id", "tie"))).first()
     if not n:
         return Bounds([(False, 0, 0)])
-    rows = sorted(map(tuple, keys.where(F.rand(11) < min(1.0, SAMPLE / n)).collect()))
+    rows = sorted(map(tuple, keys.where(F.rand(11) < min(1.0, SAMPLE * parts / n)).collect()))
     return Bounds([tuple(least), *[rows[i * len(rows) // parts] for i in range(1, parts) if rows]])
 
 
