@@ -37,7 +37,7 @@ REPORTED, COUNTED, MOST_FREQUENT = 2, 24 << 20, 500_000
 #: of them last; after REBUILDS of those all pairs are verified, however many.
 PAIRS_A_CLASS, REBUILDS = 50, 2
 #: A pair's filters ask for one token in common, and one more for each so many tokens of the smaller set.
-FILTER_STEP = 16
+FILTER_STEP = 4
 #: Rows with the texts of a hub and of so many classes it meets, or fewer, are verified by one task.
 SPOKES = 128
 #: Wanted documents are known to all tasks as a bitmap of so many bits, 4 MB at any size; the few that it lets through beside go in a join.
@@ -89,12 +89,12 @@ class Order:
 
 
 def head(own: np.ndarray, p: int, order: int) -> np.ndarray:
-    """The first `p` tokens of the set `own` in another order, by their hash's lower half.
+    """The first `p` tokens of the set `own` in another order, by the lower 16 bits of their hash.
 
     Tokens in common stay in common, so that what is lost of a hash can only let more pairs through.
     """
     h = mix(own, order)
-    return (np.partition(h, p - 1)[:p] if p < len(h) else h).astype(np.uint32)
+    return (np.partition(h, p - 1)[:p] if p < len(h) else h).astype(np.uint16)
 
 
 def may_match(spec: Spec, na: int, nb: int, a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> bool:
@@ -282,7 +282,7 @@ def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
 
     def heads(own: np.ndarray, _: str) -> bytes:
         p = spec.long_prefix(len(own))
-        return np.concatenate([np.array([len(own)], np.uint32), *[head(own, p, k) for k in range(1, spec.orders)]]).tobytes()
+        return np.array([len(own)], np.int64).tobytes() + b"".join(head(own, p, k).tobytes() for k in range(1, spec.orders))
 
     wanted = as_leaf(_both(pairs))
     known = fetched(docs, key, text, spec, classes, wanted, "binary", heads)
@@ -295,8 +295,9 @@ def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                keep.append(may_match(spec, int(x[0]), int(y[0]), *[v[1:].reshape(spec.orders - 1, -1) for v in (x, y)]))
+                x, y = x.as_buffer(), y.as_buffer()
+                na, nb = (int.from_bytes(v[:8], "little") for v in (x, y))
+                keep.append(may_match(spec, na, nb, *[np.frombuffer(v[8:], np.uint16).reshape(spec.orders - 1, -1) for v in (x, y)]))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=kinds).filter(pa.array(keep, pa.bool_()))
 
     out = as_leaf(met.mapInArrow(run, "a long, b long"))
@@ -370,7 +371,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sp
     tried, links = [], []
     every = lambda tables: reduce(DataFrame.union, tables)
     for again in range(REBUILDS + 1):
-        rows = index(docs, text, spec, Order(tokens, counts))
+        rows = as_leaf(index(docs, text, spec, Order(tokens, counts)))
         found = entries(rows, spec)
         drop_leaf(rows)
         pairs = star_pairs(found, classes, spec)

@@ -98,7 +98,7 @@ def test_filters_lose_no_similar_pair():
                 both = len(np.intersect1d(own, x))
                 passed[spec.linked(both, n + len(x) - both)].append(J.may_match(spec, n, len(x), heads(own), heads(x)))
         assert all(passed[True]) and len(passed[True]) > 50
-        assert sum(passed[False]) < 0.5 * len(passed[False])
+        assert sum(passed[False]) < 0.4 * len(passed[False])
 
 
 def test_filters_decide_before_texts_are_fetched(spark):
