@@ -13,7 +13,10 @@ CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "quarry.bloom": "true",
 }
+#: Bits of a filter for each build row, which let 3 in 100 others through, and of a filter as a whole: 64 MB, which go to every task.
+BITS_A_ROW, MOST_BITS = 8, 1 << 29
 
 
 def bloom_session(spark: SparkSession) -> SparkSession:
@@ -29,6 +32,22 @@ def bloom_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def fit_filter(spark: SparkSession, rows: int) -> None:
+    """Makes room for a filter over `rows` build rows, if `spark` is a bloom session; what it has room for already stays.
+
+    Spark's own limits, which count a filter out for builds above 10 MB, give way to one in rows: builds of
+    more than MOST_BITS / BITS_A_ROW rows get a filter of MOST_BITS that lets more through.
+    """
+    if spark.conf.get("quarry.bloom", None) != "true":
+        return
+    named = "spark.sql.optimizer.runtime.bloomFilter."
+    rows = max(rows, int(spark.conf.get(named + "expectedNumItems")))
+    bits = min(MOST_BITS, max(rows * BITS_A_ROW, int(spark.conf.get(named + "maxNumBits"))))
+    spark.conf.set(named + "creationSideThreshold", str(1 << 60))
+    for k, v in (("expectedNumItems", rows), ("maxNumItems", max(rows, int(spark.conf.get(named + "maxNumItems")))), ("maxNumBits", bits)):
+        spark.conf.set(named + k, str(v))
+
+
 def creation_side(build: DataFrame) -> DataFrame:
     """`build` cut to a leaf of the plan. Over an aggregate the optimizer would copy the marking
     predicate to the probe and prune the build instead, which is the wrong way round."""

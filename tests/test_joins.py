@@ -1,11 +1,15 @@
+import os
+import re
+
 import numpy as np
 import pytest
 from oracle import assert_same, duck
 from pyspark.sql import functions as F
 
 from quarry.functions import canonical_key
-from quarry.operators import inner_count, inner_rows, join_count, join_rows, partition_offsets
+from quarry.operators import inner_count, inner_rows, join_count, join_rows, partition_histogram, partition_offsets
 from quarry.plans import bloom_session, choose
+from quarry.plans.materialize import as_leaf, drop_leaf
 from quarry.registry import ORACLE_SQL, QUERIES
 from quarry.sources import discover, from_uint64, load_case, run_suite
 from quarry.streaming import stream_join_rows
@@ -62,17 +66,99 @@ def test_threshold(spark):
         assert df.count() == n
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def filter_of(plan):
+    """The attribute that the plan's Bloom filter is held against."""
+    return re.search(r"might_contain\(scalar-subquery.*?, xxhash64\((\w+)#", plan)[1]
+
+
 def test_bloom_prunes_the_probe(spark, sf_dir):
-    for name in ("join_count_radix_bloom", "join_rows_radix_bloom"):
+    for name, probe in (("join_count_radix_bloom", "l_orderkey"), ("join_rows_radix_bloom", "l_orderkey")):
         df = QUERIES[name](spark, sf_dir)
         df.collect()
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-        assert "might_contain" in plan
-        probe = plan[plan.index("might_contain"):]
-        assert "lineitem" in probe or "l_orderkey" in plan[plan.index("might_contain") - 200:plan.index("might_contain") + 300]
+        plan = optimized(df)
+        assert plan.count("might_contain(") == 1 and filter_of(plan) == probe
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
 
 
+def test_bloom_follows_the_strategy(spark):
+    s = bloom_session(spark)
+    b, p = sides(s, [(i, i) for i in range(30)], range(100))
+    opts = {"key": "key", "probe_key": "key", "bloom": True}
+    for strategy, threshold, single in (("single", 100, True), ("single", 10, False), ("radix", 100, False), ("adaptive", 100, True), ("adaptive", 30, False)):
+        for df in (join_count(b, p, strategy=strategy, threshold=threshold, **opts), join_rows(b, p, value="value", order_by=["value"], strategy=strategy, threshold=threshold, **opts)):
+            plan = executed(df)
+            assert ("BroadcastHashJoin" in plan, "ShuffledHashJoin" in plan) == (single, not single)
+            assert "might_contain" not in optimized(df) if single else True
+    for f in (lambda **o: join_count(b, p, **o), lambda **o: join_rows(b, p, value="value", order_by=["value"], **o)):
+        for bloom in (True, False):
+            with pytest.raises(ValueError):
+                f(key="key", probe_key="key", strategy="nonsense", bloom=bloom)
+
+
+def test_bloom_over_a_large_build(spark, tmp_path):
+    """A build far above Spark's own limit of 10 MB and 4,000,000 filter items has a filter with room for it."""
+    n = 4_200_000
+    spark.range(n).selectExpr("id * 3 key", "id value").write.parquet(str(tmp_path / "build"))
+    spark.range(20_000).selectExpr("id * 600 + id % 3 key").write.parquet(str(tmp_path / "probe"))
+    s = bloom_session(spark)
+    build, probe = s.read.parquet(str(tmp_path / "build")), s.read.parquet(str(tmp_path / "probe"))
+    assert sum(f.stat().st_size for f in (tmp_path / "build").iterdir()) > 20 << 20
+    for df in (join_count(build, probe, key="key", probe_key="key", bloom=True), join_rows(build, probe, key="key", value="value", probe_key="key", order_by=["value"], bloom=True)):
+        plan = optimized(df)
+        assert "ShuffledHashJoin" in executed(df) and filter_of(plan) == "key"
+        bits = [int(x) for x in re.findall(r"bloom_filter_agg\(.*?, (\d+), (\d+), ", plan)[0]]
+        assert bits == [n, 8 * n] if "bloom_filter_agg" in plan else True
+    assert join_count(build, probe, key="key", probe_key="key", bloom=True).first()[0] == sum(1 for i in range(20_000) if i % 3 == 0 and i * 600 < 3 * n)
+
+
+def test_builds_too_large_for_hash_tables_are_merged(spark):
+    b, p = sides(spark, [(1, 2)], [1])
+    df = join_rows(b, p, key="key", value="value", probe_key="key", order_by=["value"], build_rows=10**9)
+    assert "SortMergeJoin" in executed(df) and df.count() == 1
+
+
+def test_builds_are_counted_once(spark, monkeypatch):
+    counted = []
+    b, p = sides(spark, [(1, 2)], [1])
+    kind = type(b)
+    monkeypatch.setattr(kind, "count", lambda self, f=kind.count: counted.append(self) or f(self))
+    join_rows(b, p, key="key", value="value", probe_key="key", order_by=["value"])
+    assert counted == [b]
+    join_rows(b, p, key="key", value="value", probe_key="key", order_by=["value"], build_rows=1)
+    join_count(b, p, key="key", probe_key="key", build_rows=1, strategy="radix")
+    assert counted == [b]
+
+
+def test_buckets(spark):
+    keys = [-1, -257, -256, 0, 255, 256, -LONG, LONG - 1, None]
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    got = {r.bucket: r.n for r in partition_histogram(df, key="key").collect()}
+    assert got == {b: n for b, n in ((255, 4), (0, 4))}
+    strided = spark.range(0, 256 * 4096, 256).toDF("key")
+    assert partition_histogram(strided, key="key").count() == 1
+    spread = partition_histogram(strided, key="key", hashed=True).collect()
+    assert len(spread) > 250 and max(r.n for r in spread) < 50 and all(0 <= r.bucket < 256 for r in spread)
+    ends = partition_offsets(strided, key="key", hashed=True).agg(F.min("start_pos"), F.max("end_pos")).first()
+    assert tuple(ends) == (0, 4096)
+
+
+def test_dropped_leaves(spark):
+    df = as_leaf(spark.range(5))
+    files = df.inputFiles()
+    assert files and "/quarry_" in files[0] and os.path.exists(files[0].removeprefix("file://"))
+    drop_leaf(df, spark.range(3))
+    assert not os.path.exists(os.path.dirname(files[0].removeprefix("file://")))
+    drop_leaf(df)
+
+
 def test_keys(spark):
     df = spark.sql("SELECT CAST(18446744073709551615 AS DECIMAL(20,0)) u, 2.7D d, -2.7D m, 'x' s")
     assert tuple(df.select(*[canonical_key(df, c) for c in "udm"]).first()) == (-1, 2, -2)
@@ -109,7 +195,7 @@ def test_stream_probe(spark, tmp_path):
     spark.range(10).select(F.col("id").alias("key")).write.parquet(str(tmp_path / "in"))
     b = spark.createDataFrame([(1, 5), (1, 4), (3, 3)], "key long, value long")
     stream = spark.readStream.schema("key long").parquet(str(tmp_path / "in"))
-    q = stream_join_rows(b, stream, key="key", value="value", probe_key="key", order_by=["value"]).writeStream.format("memory").queryName("joined").start()
+    q = stream_join_rows(b, stream, key="key", value="value", probe_key="key", order_by=["value"], strategy="radix").writeStream.format("memory").queryName("joined").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("joined").collect())) == [(1, 4), (3, 3)]
