@@ -11,14 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.bpe_codec import digests, encode_decode
+from quarry.llm.common import may_be_in
 from quarry.llm.jaccard_join import Spec, jaccard_join
 from quarry.llm.language_id import identify, train
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import quality_rules
 from quarry.llm.tokenizer_files import public
-from quarry.plans.materialize import as_leaf
+from quarry.plans.materialize import as_leaf, drop_leaf
 
 
 #: Near duplicates share four fifths of their distinct runs of five words.
@@ -33,10 +35,13 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the lines that pass."""
+    """Documents that the quality rules keep, with the lines that pass. Short ones are judged by their lines as well: that a
+    document has few words is no fault here."""
     own, back = _apart(docs)
-    kept = quality_rules(own).where("kept")
-    changed = {"text": F.col("clean_text").alias("text"), "n_chars": F.char_length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("clean_text").alias("text")}
+    kept = quality_rules(own, min_words=1).where("kept")
+    changed = {"text": F.col("clean_text").alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return kept.select(*[changed.get(c, b) for c, b in zip(docs.columns, back, strict=True)])
 
 
@@ -48,7 +53,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of the smallest id, or any where none has an id. Of rows equal
-    in id (or both without one) and text one stays. Rows are told apart by a 64-bit hash of id and text."""
+    in id (or both without one) and text one stays, told by a hash of its other columns. Rows are told apart by a 64-bit
+    hash of id and text. Only rows that go or repeat, and a few more, are shuffled with their texts.
+    """
     own, back = _apart(docs)
     own = own.withColumn("id", F.col(f"__{docs.columns.index('doc_id')}")).withColumn("row", F.xxhash64("id", "text"))
     groups = as_leaf(jaccard_join(own, key="row", spec=NEAR).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
@@ -58,12 +65,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = linked.join(own.select("row", "id").distinct(), "row")
     stay = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias("row"))
     others = as_leaf(linked.select("row").join(stay.select("row"), "row", "left_anti"))
-    kept = own.join(others, "row", "left_anti")
-    twice = as_leaf(rows.where("n > 1").select("row"))
-    if twice.isEmpty():
-        return kept.select(*back)
-    once = kept.join(twice, "row", "left_anti").select(*back)
-    return once.union(kept.join(twice, "row", "left_semi").dropDuplicates(["row"]).select(*back))
+    touched = may_be_in(others.union(rows.where("n > 1").select("row")), "row")(F.col("row"))
+    drop_leaf(groups, rows, linked)
+    names = [c for c in own.columns if c not in ("id", "row")]
+    one = F.min_by(F.struct(*names), F.xxhash64(*[c for c in names if not isinstance(own.schema[c].dataType, T.MapType)])).alias("one")
+    rest = own.where(touched).groupBy("row").agg(one).join(others, "row", "left_anti").select("one.*")
+    return own.where(~touched).select(*names).union(rest).select(*back)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bits of a bitmap of keys: 4 MB, at any number of keys.
+BITS = 1 << 25
+
+
+def slot(key: Column) -> Column:
+    """The bit, counted from 1, that a key has in a bitmap."""
+    return F.xxhash64(key).bitwiseAND(F.lit(BITS - 1)) + 1
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """The bits of all of `slots` (slot), as bytes. It's put together on the executors; many keys may have one bit."""
+    found = slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in found:
+        out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def hits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of `slots` have their bit set."""
+    at = np.maximum(slots - 1, 0)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def may_be_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A condition that holds for all keys of `keys`, and for others only if they share a bit: what it rules out needs no join."""
+    bits = bitmap(keys.select(slot(F.col(key)).alias("slot")))
+
+    @F.pandas_udf("boolean")
+    def hit(slots: pd.Series) -> pd.Series:
+        return pd.Series(hits(bits, slots.to_numpy()))
+
+    return lambda c: hit(slot(c))
+
+
 def most(df: DataFrame, n: str, room: int) -> DataFrame:
     """The rows of `df` with the greatest `n`, `room` of them at most: those above the lowest eighth of a power of two that leaves room.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, most, slices
+from quarry.llm.common import bitmap, documents, hits, most, slices, slot
 from quarry.llm.components import components
 from quarry.llm.shingles import mix, sets, signature
 from quarry.plans.materialize import as_leaf, drop_leaf
@@ -40,8 +40,6 @@ PAIRS_A_CLASS, REBUILDS = 50, 2
 FILTER_STEP = 4
 #: Rows with the texts of a hub and of so many classes it meets, or fewer, are verified by one task.
 SPOKES = 128
-#: Wanted documents are known to all tasks as a bitmap of so many bits, 4 MB at any size; the few that it lets through beside go in a join.
-BITS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -228,39 +226,25 @@ def cross_pairs(rows: DataFrame, opened: DataFrame, spec: Spec) -> DataFrame:
     return met.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct()
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for the `slot` of each of `ids`, as bytes."""
-    rows = ids.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    out = np.zeros((BITS // 32768, 4096), np.uint8)
-    for r in rows:
-        out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def _slot(key: Column) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(BITS - 1)) + 1
-
-
 def fetched(docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame, wanted: DataFrame, kind: str, make: Callable[[np.ndarray, str], object]) -> DataFrame:
     """(sig, made): what `make` gives, of the type `kind`, for the set and text of each class in `wanted` (sig), and of some more.
 
-    A class is fetched by its smallest id, or where none has an id from the rows without one. Nothing but what is
-    made of wanted documents is shuffled.
+    A class is fetched by its smallest id, or where none has an id from the rows without one. All tasks know the ids by
+    their bitmap, and what it lets through beside the wanted goes in a later join. Nothing else is shuffled.
     """
     kinds = pa.schema([("sig", pa.int64()), ("made", pa.string() if kind == "string" else pa.binary())])
     reps = as_leaf(classes.join(wanted, "sig").select(F.col("least").alias("id")))
-    bits = _bitmap(reps.where("id IS NOT NULL").select(_slot(F.col("id")).alias("slot")))
+    bits = bitmap(reps.where("id IS NOT NULL").select(slot(F.col("id")).alias("slot")))
     nulls = not reps.where("id IS NULL").isEmpty()
     drop_leaf(reps)
     k = F.col(f"`{key}`").cast("long")
-    rows = docs.select(F.when(k.isNull(), F.lit(0).cast("long")).otherwise(_slot(k)).alias("slot"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.when(k.isNull(), F.lit(0).cast("long")).otherwise(slot(k)).alias("slot"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            slot = batch.column(0).to_numpy()
-            at = np.maximum(slot - 1, 0)
-            keep = np.where(slot == 0, nulls, (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+            own = batch.column(0).to_numpy()
+            keep = np.where(own == 0, nulls, hits(bits, own))
             for part in slices(batch.filter(pa.array(keep)), "text", SLICE):
                 own = part.column(1).to_pylist()
                 out: dict[int, object] = {}

@@ -18,7 +18,7 @@ def test_against_brute_force(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE TABLE documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
-    con.execute(f"CREATE TABLE one AS SELECT d.* REPLACE (q.clean_text AS text, length(q.clean_text) AS n_chars) FROM documents d JOIN ({judged_sql()}) q USING (doc_id) WHERE q.kept")
+    con.execute(f"CREATE TABLE one AS SELECT d.* REPLACE (q.clean_text AS text, length(q.clean_text) AS n_chars) FROM documents d JOIN ({judged_sql(min_words=1)}) q USING (doc_id) WHERE q.kept")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stage = [docs]
     for _, f in C.STAGES:
