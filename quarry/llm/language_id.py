@@ -32,20 +32,21 @@ HELD = 5
 #: The share of held texts, rightly predicted, that the rejection threshold may lose, and its highest value.
 LOST, CEILING = 0.002, 0.5
 UNKNOWN = "und"
+#: Bytes that are worked on at once of a longer text.
+PART = 1 << 18
 
 #: ASCII other than letters becomes a blank; bytes of longer characters stay.
 _FOLD = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
 _LETTER = regex.compile(r"\p{L}").search
 
 
-def buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(for each subword length its bucket at each byte, BUCKETS where there is none; where each text begins).
+def folded(text: str) -> np.ndarray:
+    """The bytes that a text's subwords are made of: lower-cased, between blanks."""
+    return _FOLD[np.frombuffer(f" {text} ".lower().encode(), np.uint8)]
 
-    The texts lie one after the other, each between blanks.
-    """
-    raw = [f" {t} ".lower().encode() for t in texts]
-    buf = _FOLD[np.frombuffer(b"".join(raw), np.uint8)]
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
+
+def buckets(buf: np.ndarray) -> list[np.ndarray]:
+    """For each subword length its bucket at each byte, BUCKETS where there is none."""
     n = len(buf)
     blank = buf == 0x20
     out = []
@@ -61,7 +62,17 @@ def buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         at = ((mixed + np.uint32(k * 0x9E3779B9 & 0xFFFFFFFF)) >> np.uint32(32 - 15)).astype(np.int64)
         none = inner[:m] | (blank[:m] & blank[k - 1 :])
         out.append(np.where(none, BUCKETS, at))
-    return out, np.cumsum(size) - size
+    return out
+
+
+def counts(text: str) -> np.ndarray:
+    """How often each bucket is in a text of any length, PART bytes at a time."""
+    buf = folded(text)
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for start in range(0, len(buf), PART):
+        for at in buckets(buf[start : start + PART + LONGEST - 1]):
+            out += np.bincount(at[:PART], minlength=BUCKETS + 1)
+    return out[:BUCKETS]
 
 
 @dataclass
@@ -78,12 +89,19 @@ class Model:
         names, scores, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         own = [i for i, t in enumerate(texts) if t and _LETTER(t)]
         if own and self.languages:
-            found, start = buckets([texts[i] for i in own])
             total, count = np.zeros((len(own), len(self.languages))), np.zeros(len(own))
-            for at in found:
-                use = np.minimum(start, len(at) - 1)
-                total += np.add.reduceat(self.logits[at], use, axis=0)
-                count += np.add.reduceat((at < BUCKETS).astype(np.int64), use)
+            short = [k for k, i in enumerate(own) if len(texts[i]) <= PART]
+            if short:
+                bufs = [folded(texts[own[k]]) for k in short]
+                size = np.fromiter(map(len, bufs), np.int64, len(bufs))
+                start = np.cumsum(size) - size
+                for at in buckets(np.concatenate(bufs)):
+                    use = np.minimum(start, len(at) - 1)
+                    total[short] += np.add.reduceat(self.logits[at], use, axis=0)
+                    count[short] += np.add.reduceat((at < BUCKETS).astype(np.int64), use)
+            for k in set(range(len(own))) - set(short):
+                n = counts(texts[own[k]])
+                total[k], count[k] = n @ self.logits[:BUCKETS], n.sum()
             z = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -165,9 +183,9 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
                 out = {"draw": [], "lang": [], "at": [], "n": []}
                 for d, a, t in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     if _LETTER(t):
-                        found = np.concatenate(buckets([t])[0])
-                        at, n = np.unique(found[found < BUCKETS], return_counts=True)
-                        for c, v in zip(out, (d, a, at.astype("<u2").tobytes(), n.astype("<u4").tobytes()), strict=True):
+                        found = counts(t)
+                        at = np.flatnonzero(found)
+                        for c, v in zip(out, (d, a, at.astype("<u2").tobytes(), found[at].astype("<u4").tobytes()), strict=True):
                             out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("draw", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
 
@@ -181,9 +199,11 @@ FIELDS = {"lang_pred": (T.StringType(), pa.string()), "score": (T.DoubleType(),
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred`, `score` and `accepted`, from whole texts alone.
 
-    Null texts and texts without a letter are UNKNOWN, score 0 and are rejected. `score` is the calibrated
-    probability of the prediction. Columns of those names are replaced, others pass through. No shuffle.
-    The model that goes to each task has BUCKETS rows of one number a language.
+    Null texts and texts without a letter are UNKNOWN, score 0 and are rejected; so is every text where no language was
+    learned. `score` is the calibrated probability of the prediction. Equal texts get equal predictions. Columns of
+    those names are replaced, others pass through, and an empty table stays empty. Texts of any length are read whole;
+    a task holds a few copies of one and the numbers of 1 MB. No shuffle. The model that goes to each task has
+    BUCKETS rows of one number a language.
     """
     return extend(docs, text, FIELDS, lambda: model.predict, 1 << 20)
 
