@@ -149,12 +149,45 @@ def decode(path: str, ids: list[int]) -> str:
     return " ".join(names[i] for i in ids if i in names)
 
 
+class Decoder:
+    """Texts from packed ids, a batch at a time."""
+
+    def __init__(self, path: str):
+        names = _codec(path).names
+        self.names = pa.array([names.get(i) for i in range(max(names, default=-1) + 1)], pa.string())
+        self.known = self.names.is_valid().to_numpy(zero_copy_only=False)
+
+    def __call__(self, packed: pa.Array) -> dict:
+        packed = pc.fill_null(packed, b"")
+        ids = np.frombuffer(b"".join(packed.to_pylist()), "<u4").astype(np.int64)
+        ends = np.cumsum(pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64)) // 4
+        known = self.known[np.minimum(ids, len(self.known) - 1)] & (ids < len(self.known))
+        upto = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], ends]).astype(np.int64)]
+        return {"decoded": pc.binary_join(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), self.names.take(pa.array(ids[known]))), " ")}
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def decode_ids(encoded: DataFrame, *, path: str, ids: str = "ids") -> DataFrame:
+    """`encoded` with `decoded`: the text of each row's `ids`, packed as `encode_decode` packs them.
+
+    Ids that the vocabulary doesn't have are passed over; null and empty ids give an empty text. A column `decoded` that is
+    there already is replaced, others pass through, and an empty table stays empty. No shuffle.
+    """
+    return extend(encoded, ids, {"decoded": (T.StringType(), pa.string())}, lambda: _decoder(path), INDEX_BYTES)
+
+
 def encode_decode(docs: DataFrame, *, path: str, text: str = "text") -> DataFrame:
     """`docs` with `ids` (packed little-endian unsigned 32-bit integers) and `decoded` (the text of those ids).
 
     Whole texts, with the vocabulary's normalisation (composed, lower case) and without begin or end
     tokens; its special strings in a text give their ids. Null and empty texts give no ids and an empty
-    text. Columns of those names are replaced, others pass through, repeated rows stay. No shuffle.
+    text. Columns of those names are replaced, others pass through, repeated rows stay, and an empty table stays
+    empty. Texts of any length are encoded whole: a task holds one text, its distinct words and the index over 4 MB of
+    text or, of a longer one, over its distinct words. No shuffle.
     """
     fields = {"ids": (T.BinaryType(), pa.binary()), "decoded": (T.StringType(), pa.string())}
     return extend(docs, text, fields, lambda: _codec(path), INDEX_BYTES)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
-from quarry.plans.materialize import as_leaf
+from quarry.plans.materialize import as_leaf, drop_leaf
 
 #: Weights of the sources in code point order, null last, over and over.
 WEIGHTS = (5, 2, 1)
@@ -88,13 +88,17 @@ def cuts(rows: DataFrame) -> DataFrame:
         upto = F.col("base") + F.sum("mass").over(Window.partitionBy("source").orderBy("b"))
         found = sums.withColumn("upto", upto).where((F.col("upto") - F.col("mass") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
         step = found.select(F.col("source").alias("s"), F.col("b"), (F.col("upto") - F.col("mass")).alias("start"))
-        state = as_leaf(state.join(step, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "rest", F.coalesce("b", F.lit(-1)).cast("long").alias("bin"), F.coalesce("start", F.lit(0)).cast("long").alias("base")))
+        further = as_leaf(state.join(step, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "rest", F.coalesce("b", F.lit(-1)).cast("long").alias("bin"), F.coalesce("start", F.lit(0)).cast("long").alias("base")))
+        drop_leaf(state)
+        state = further
     inside = _meet(rows, state, n).where(F.floor(F.col("key") * float(width)) == F.col("bin"))
     # The one that lies across the end is taken if more than half of it lies within.
     peers = inside.groupBy("source", "key").agg(F.sum("size").alias("mass"), F.first("rest").alias("rest"), F.first("base").alias("base"))
     upto = F.col("base") + F.sum("mass").over(Window.partitionBy("source").orderBy("key"))
     taken = peers.withColumn("upto", upto).where(2 * F.col("upto") - F.col("mass") <= 2 * F.col("rest")).groupBy(F.col("source").alias("s")).agg(F.max("key").alias("last"))
-    return as_leaf(state.join(taken, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", F.when(F.col("bin") >= 0, F.col("bin") / float(width)).otherwise(0.0).alias("edge"), F.coalesce("last", F.lit(-1.0)).alias("last")))
+    out = as_leaf(state.join(taken, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", F.when(F.col("bin") >= 0, F.col("bin") / float(width)).otherwise(0.0).alias("edge"), F.coalesce("last", F.lit(-1.0)).alias("last")))
+    drop_leaf(state)
+    return out
 
 
 def _meet(rows: DataFrame, small: DataFrame, n: int) -> DataFrame:
@@ -110,12 +114,14 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     `copies` is how often the mix takes the whole document, `taken` that many times its words. Each
     source's sum of `taken` differs from its `target` by half a document at most (rows equal in id and
     text count as one). Null sources are a source of their own, the last; null and empty texts have no words
-    and are taken with complete epochs only. An empty table gives an empty mix.
+    and are taken with complete epochs only. Texts of any length count whole, and an empty table gives an empty mix.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     rows = docs.select(own.alias("row"), F.col(f"`{source}`").alias("source"), words(t).alias("size"), draw(k, t, quality_weight(t) if weight is None else weight).alias("key"))
-    cut = cuts(as_leaf(rows.select("source", "size", "key")))
+    sizes = as_leaf(rows.select("source", "size", "key"))
+    cut = cuts(sizes)
+    drop_leaf(sizes)
     joined = _meet(rows, cut, cut.count())
     more = ((F.col("key") < F.col("edge")) | (F.col("key") <= F.col("last"))) & (F.col("size") > 0)
     copies = F.col("epochs") + more.cast("long")

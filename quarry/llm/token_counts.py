@@ -110,7 +110,8 @@ def token_counts(docs: DataFrame, *, path: str, text: str = "text") -> DataFrame
 
     No begin or end tokens; the vocabulary's special strings count as one token each. Null and empty
     texts have 0. A column `n_tokens` that is there already is replaced, others pass through, rows
-    that repeat stay. Works within partitions: no shuffle, and a word is merged once while a
+    that repeat stay, and an empty table stays empty. Texts of any length are counted whole: a task holds one
+    text with its distinct words. Works within partitions: no shuffle, and a word is merged once while a
     worker remembers it.
     """
     return extend(docs, text, {"n_tokens": (T.LongType(), pa.int64())}, lambda: _counter(path))

@@ -99,7 +99,8 @@ def write(docs: DataFrame, out: str, *, path: str, key: str = "doc_id", text: st
 
     Null keys come first; equal keys are ordered by their texts' hashes, so that reruns agree. A null
     text counts as empty. The table is dealt out once, by ranges of (key, hash); each range is a shard.
-    A key must be an integer.
+    A key must be an integer; -2^63 stands for none and is read as null. An empty table gives files without documents.
+    Texts of any length are encoded whole: a task holds one text, or 8 MB of shorter ones, with their ids.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm.bpe_codec import Codec, decode, encode_decode, query
+from quarry.llm.bpe_codec import Codec, decode, decode_ids, encode_decode, query
 
 PATH = P.path("word_bpe_49k.json")
 EDGE = ["", " ", "\n\n", "a  b", "aaaaaaaaaaaaaaaaaaaaaaaa aaa aa", "ΣΑΣ Σ ΟΔΟΣ", "İstanbul ǅ ẞ", "é ́x Å", "don't WE'LL 's", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|> c", "123 4५६", "漢字🙂🙂", "a\x1cb\x85c　d e​f", "x" * 3000, "!?" * 500, "<|ENDOFTEXT|>"]
@@ -39,6 +39,20 @@ def test_rows(spark):
     assert encode_decode(df.limit(0), path=PATH).count() == 0
 
 
+def test_tables_of_ids(spark, library):
+    """What was encoded is decoded from its ids alone; ids that the vocabulary doesn't have are passed over."""
+    texts = [*EDGE, None, "Some words, AND more of them"]
+    made = encode_decode(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path=PATH)
+    got = {r.doc_id: r for r in decode_ids(made.withColumnRenamed("decoded", "before"), path=PATH).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].decoded == got[i].before == library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)
+    odd = [(1, None), (2, b""), (3, np.array([320, 2**32 - 1, 49_407, 60_000, 320], "<u4").tobytes())]
+    df = spark.createDataFrame([(*x, "old") for x in odd], "doc_id long, ids binary, decoded string")
+    want = {1: "", 2: "", 3: library.decode([320, 49_407, 320], skip_special_tokens=False)}
+    assert {r.doc_id: r.decoded for r in decode_ids(df, path=PATH).collect()} == want == {i: decode(PATH, np.frombuffer(b or b"", "<u4").tolist()) for i, b in odd}
+    assert decode_ids(df.limit(0), path=PATH).count() == 0
+
+
 def test_query(spark, sf_dir, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = query(spark, sf_dir).collect()

@@ -5,6 +5,7 @@ import pytest
 from oracle import assert_same, duck
 from pyspark.sql import functions as F
 
+from quarry.llm import mixing
 from quarry.llm.mixing import SQL, mix, mixed_sql, query
 
 
@@ -62,6 +63,13 @@ def test_heavier_documents_come_first(spark):
     assert clean > 1.3 * (len(rows) - clean)
 
 
+def test_sources_joined_or_broadcast(spark, monkeypatch):
+    df = spark.range(600).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 9 as int)) text", "if(id % 7 = 0, null, concat('s', id % 50)) source")
+    want = sorted(map(repr, mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mix(df).collect())) == want
+
+
 def test_sql(spark, sf_dir):
     assert_same(query(spark, sf_dir), duck(sf_dir), SQL)
     assert "copies" in mixed_sql()

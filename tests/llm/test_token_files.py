@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quarry.llm import token_files
 from quarry.llm.simple8b import pack, read_block, unpack, write_block
 from quarry.llm.token_files import Encoder, query, read, write
 
@@ -65,6 +66,18 @@ def test_files(spark, tmp_path):
     assert read(spark, f"{out}0").count() == 0
 
 
+def test_shards_joined_or_broadcast(spark, tmp_path, monkeypatch):
+    df = spark.range(300).selectExpr("id doc_id", "repeat('some words ', cast(id % 40 as int)) text")
+    out = f"file://{tmp_path}/g"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write(df, out, path=PATH)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(out).select("shard").distinct().count() > 1
+    want = sorted(map(tuple, read(spark, out).collect()))
+    monkeypatch.setattr(token_files, "BROADCAST_SHARDS", 0)
+    assert sorted(map(tuple, read(spark, out).collect())) == want and len(want) == 300
+
+
 def test_query(spark, sf_dir):
     library, at = Tokenizer.from_file(PATH), 0
     got = {r.doc_id: r for r in query(spark, sf_dir).collect()}
