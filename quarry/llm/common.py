@@ -32,10 +32,10 @@ def slot(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit(BITS - 1)) + 1
 
 
-def bitmap(slots: DataFrame) -> np.ndarray:
-    """The bits of all of `slots` (slot), as bytes. It's put together on the executors; many keys may have one bit."""
+def bitmap(slots: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bits of all of `slots` (slot, from 1 to `bits`), as bytes. It's put together on the executors; many keys may have one bit."""
     found = slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    out = np.zeros((BITS // 32768, 4096), np.uint8)
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in found:
         out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()

@@ -38,6 +38,8 @@ REPORTED, COUNTED, MOST_FREQUENT = 2, 24 << 20, 500_000
 PAIRS_A_CLASS, REBUILDS = 50, 2
 #: A pair's filters ask for one token in common, and one more for each so many tokens of the smaller set.
 FILTER_STEP = 4
+#: Bits of the bitmap of tokens that several classes have: 16 MB, at any number of them.
+TOKEN_BITS = 1 << 27
 #: Rows with the texts of a hub and of so many classes it meets, or fewer, are verified by one task.
 SPOKES = 128
 
@@ -182,16 +184,26 @@ def _early(spec: Spec, n: Column, pos: Column, other: Column) -> Column:
 def entries(rows: DataFrame, spec: Spec) -> DataFrame:
     """(token, sig, n, pos, hub, hub_pos) of tokens that more than one class has, as far as they stand early
     enough to matter. `hub` is the upper bits of the class in which the token stands earliest. A token's rows
-    are combined map-side to three numbers. A token goes unseen where all classes that have it agree in those bits and
+    are combined map-side to three numbers. Most tokens are one class's alone; the others' bitmap keeps nearly all rows of
+    those out of the join. A token goes unseen where all classes that have it agree in those bits and
     have it at the same place: a chance of 2^-44 a token.
     """
     last = (1 << (63 - CLASS_BITS)) - 1
     place = F.shiftleft(F.least("pos", F.lit(last)).cast("long"), CLASS_BITS).bitwiseOR(_upper(F.col("sig")))
     seen = rows.groupBy("token").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("n").alias("least")).where("lo <> hi")
     hub = F.col("lo").bitwiseAND(F.lit((1 << CLASS_BITS) - 1))
-    met = rows.join(seen.select("token", hub.alias("hub"), F.shiftright("lo", CLASS_BITS).alias("hub_pos"), "least"), "token")
+    seen = as_leaf(seen.select("token", hub.alias("hub"), F.shiftright("lo", CLASS_BITS).alias("hub_pos"), "least"))
+    bits = bitmap(seen.select((F.col("token").bitwiseAND(F.lit(TOKEN_BITS - 1)) + 1).alias("slot")), TOKEN_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(bits, (batch.column(0).to_numpy() & (TOKEN_BITS - 1)) + 1)))
+
+    met = rows.mapInArrow(run, "token long, sig long, n int, pos int").join(seen, "token")
     smallest = F.greatest(F.col("least"), F.ceil(spec.percent * F.col("n") / 100.0 - 1e-9))
-    return as_leaf(met.where(_early(spec, F.col("n"), F.col("pos"), smallest)).select("token", "sig", "n", "pos", "hub", "hub_pos"))
+    out = as_leaf(met.where(_early(spec, F.col("n"), F.col("pos"), smallest)).select("token", "sig", "n", "pos", "hub", "hub_pos"))
+    drop_leaf(seen)
+    return out
 
 
 def star_pairs(found: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
@@ -268,9 +280,7 @@ def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
         p = spec.long_prefix(len(own))
         return np.array([len(own)], np.int64).tobytes() + b"".join(head(own, p, k).tobytes() for k in range(1, spec.orders))
 
-    wanted = as_leaf(_both(pairs))
-    known = fetched(docs, key, text, spec, classes, wanted, "binary", heads)
-    known = as_leaf(known.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("made").alias("made")))
+    known = fetched(docs, key, text, spec, classes, _both(pairs), "binary", heads).groupBy("sig").agg(F.first("made").alias("made"))
     side = lambda c: known.select(F.col("sig").alias(c), F.col("made").alias(f"{c}_head"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_head", "b_head")
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -284,9 +294,7 @@ def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
                 keep.append(may_match(spec, na, nb, *[np.frombuffer(v[8:], np.uint16).reshape(spec.orders - 1, -1) for v in (x, y)]))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=kinds).filter(pa.array(keep, pa.bool_()))
 
-    out = as_leaf(met.mapInArrow(run, "a long, b long"))
-    drop_leaf(wanted, known)
-    return out
+    return as_leaf(met.mapInArrow(run, "a long, b long"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame) -> DataFrame:
