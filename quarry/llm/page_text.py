@@ -304,8 +304,8 @@ def _per_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[Run]]:
     return out
 
 
-def near_runs(keys: DataFrame) -> DataFrame:
-    """(host, path, before, after): for each path of `keys` (host, path, sig) the runs of `_behind`, on either side.
+def near_runs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, path, before, after): for each path of `keys` (host, path, sig) the runs of `_behind`, on either side; and the table it reads.
 
     Paths are dealt out by ranges, so that a host of any size spreads over tasks; a task holds the paths of its range.
     The driver sees four runs a range at most, and tells each task what lies beyond the edges of its own.
@@ -336,7 +336,7 @@ def near_runs(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r.host for r in own]), pa.array([r.path for r in own]), *sides], names=["host", "path", "before", "after"])
 
     side = "array<struct<path: string, lo: bigint, hi: bigint>>"
-    return dealt.mapInArrow(run, f"host string, path string, before {side}, after {side}")
+    return dealt.mapInArrow(run, f"host string, path string, before {side}, after {side}"), runs
 
 
 def nearest(path: str, sig: int, before: list, after: list) -> tuple[str, int] | None:
@@ -398,8 +398,9 @@ def deleted(pages: DataFrame, least: int) -> DataFrame:
             same = [[{"place": i, "line": a[i]} for i in sorted(common(a, b))] for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same, kind)], names=[*_KEY, "same"])
 
-    sides = near_runs(pages.select(*_KEY))
+    sides, runs = near_runs(pages.select(*_KEY))
     pairs = as_leaf(pages.select(*_KEY).join(sides, ["host", "path"]).select(*_KEY, "before", "after").mapInArrow(choose, "host string, path string, sig long, near_path string, near_sig long"))
+    drop_leaf(runs)
     other = pages.select("host", F.col("path").alias("near_path"), F.col("sig").alias("near_sig"), F.col("every").alias("near"))
     both = pairs.where("near_path IS NOT NULL").join(other, ["host", "near_path", "near_sig"]).select(*_KEY, "near")
     both = both.join(pages.select(*_KEY, "own"), _KEY).select(*_KEY, "own", "near")
