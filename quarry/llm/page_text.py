@@ -4,7 +4,7 @@ A page becomes lines, one for each block, without the elements that are never it
 order of host and path; each is held against the nearest page before or after it, of its host, whose path and
 html are others: the one whose path shares the longest beginning. The lines of both are aligned by a longest
 common subsequence. Lines that stand in both are the site's and are deleted, with one exception: a line within an
-<article> or <main> may be a sentence that two articles share. It is the site's only if most pages of the host have it.
+<article> or <main> may be a sentence that two articles share. It is the site's only if nearly all pages of the host have it.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from quarry.llm.url_filter import parts
 from quarry.plans.materialize import as_leaf, drop_leaf
 
 SLICE = 2 << 20
-#: A line within an article that the nearest page has too is the site's if so many paths of the host have it, and more than half of them.
-SITE_PATHS = 4
+#: A line within an article that the nearest page has too is the site's if so many paths of the host have it, and this share of them.
+SITE_PATHS, SITE_SHARE = 8, 0.75
 #: Elements whose text is none of the page's; the second kind only outside of articles.
 NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe svg canvas object menu dialog datalist".split())
 OUTSIDE = frozenset(["header"])
@@ -376,11 +376,11 @@ def hashes(pages: DataFrame) -> DataFrame:
 
 
 def site_lines(pages: DataFrame, shared: DataFrame, least: int) -> DataFrame:
-    """(host, line) of the article lines in `shared` (host, line) that at least `least` paths, and more than half, of their host have."""
+    """(host, line) of the article lines in `shared` (host, line) that at least `least` paths, and SITE_SHARE, of their host have."""
     paths = pages.select("host", "path").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("paths"))
     some = shared.distinct()
     found = pages.select("host", "path", F.explode("own").alias("line")).join(some, ["host", "line"], "left_semi").distinct()
-    return found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).join(paths, "host").where((F.col("n") >= least) & (2 * F.col("n") > F.col("paths"))).select("host", "line")
+    return found.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).join(paths, "host").where((F.col("n") >= least) & (F.col("n") >= SITE_SHARE * F.col("paths"))).select("host", "line")
 
 
 def deleted(pages: DataFrame, least: int) -> DataFrame:
@@ -422,7 +422,7 @@ def page_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", sourc
     path. Html of any length is read in linear time; an alignment takes time by the product of the lines that two pages
     share and memory by their number. An empty table gives an empty result, and other columns are not looked at. Pages
     are held against each other by numbers for their lines, 16 bytes a line; html is joined with what is to be deleted.
-    A line within an article goes if the nearest page has it and `site_paths` paths of the host do, and more than half.
+    A line within an article goes if the nearest page has it and `site_paths` paths of the host do, and SITE_SHARE of them.
     """
     host, path = parts(F.col(f"`{url}`"))
     text = F.coalesce(F.col(f"`{source}`"), F.lit(""))

@@ -141,13 +141,13 @@ def story(own, end="Share this story", also=""):
 
 
 def test_site_lines_in_articles(spark):
-    """What most pages of a host have in their articles goes; sentences that some articles share stay."""
+    """What nearly all pages of a host have in their articles goes; sentences that some articles share stay."""
     quote = "<p>A sentence that is quoted.</p>"
-    rows = [(i, f"http://a.org/{i}", story(i, also=quote if i < 3 else "")) for i in range(8)]
-    rows += [(20 + i, f"http://b.org/{i}", story(i)) for i in range(3)]  # too few to tell
+    rows = [(i, f"http://a.org/{i}", story(i, also=quote if i < 6 else "")) for i in range(10)]
+    rows += [(20 + i, f"http://b.org/{i}", story(i)) for i in range(7)]  # too few to tell
     rows += [(30 + i, f"http://c.org/{i}", story(i, end=f"End {i // 3}")) for i in range(9)]  # no line on more than half
     rows += [(40 + i, "http://d.org/x", story("x")) for i in range(9)]  # copies of one page
-    rows += [(50 + i, f"http://e.org/{i}?q={i}", story(i)) for i in range(4)] + [(54, "http://e.org/0?q=7", story(0))]
+    rows += [(50 + i, f"http://e.org/{i}?q={i}", story(i)) for i in range(8)] + [(58, "http://e.org/0?q=7", story(0))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     by = {r.page_id: r.text for r in page_text(df).collect()}
     for i, u, h in rows:
