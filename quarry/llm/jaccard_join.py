@@ -280,7 +280,7 @@ def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
         p = spec.long_prefix(len(own))
         return np.array([len(own)], np.int64).tobytes() + b"".join(head(own, p, k).tobytes() for k in range(1, spec.orders))
 
-    known = fetched(docs, key, text, spec, classes, _both(pairs), "binary", heads).groupBy("sig").agg(F.first("made").alias("made"))
+    known = as_leaf(fetched(docs, key, text, spec, classes, _both(pairs), "binary", heads).groupBy("sig").agg(F.first("made").alias("made")))
     side = lambda c: known.select(F.col("sig").alias(c), F.col("made").alias(f"{c}_head"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_head", "b_head")
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -294,7 +294,10 @@ def filtered(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
                 keep.append(may_match(spec, na, nb, *[np.frombuffer(v[8:], np.uint16).reshape(spec.orders - 1, -1) for v in (x, y)]))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=kinds).filter(pa.array(keep, pa.bool_()))
 
-    return as_leaf(met.mapInArrow(run, "a long, b long"))
+    # A class may have very many pairs: the joins read a table on either side, so that a large partition can be split.
+    out = as_leaf(met.mapInArrow(run, "a long, b long"))
+    drop_leaf(known)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec, classes: DataFrame) -> DataFrame:
@@ -324,7 +327,9 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec,
                 for h, k, meets, sig, s in zip(*columns, sets(part.column(4).to_pylist(), spec.width), strict=True):
                     if not meets:
                         hub, own = (h, k), s
-                    elif hub == (h, k):
+                    elif hub != (h, k):
+                        raise RuntimeError("a hub's text is missing; the documents changed between two scans")
+                    else:
                         both = len(np.intersect1d(own, s, assume_unique=True))
                         if spec.linked(both, len(own) + len(s) - both):
                             a.append(min(h, sig))
