@@ -25,7 +25,7 @@ from quarry.llm.tokenizer_files import Merges, merges, public
 #: Fixed value: the words that vocabularies of this family merge; what lies between them is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text that a task indexes at once.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 2 << 20
 
 
 def encode_words(rules: Merges, words: list[bytes]) -> list[np.ndarray]:
@@ -186,7 +186,7 @@ def encode_decode(docs: DataFrame, *, path: str, text: str = "text") -> DataFram
     Whole texts, with the vocabulary's normalisation (composed, lower case) and without begin or end
     tokens; its special strings in a text give their ids. Null and empty texts give no ids and an empty
     text. Columns of those names are replaced, others pass through, repeated rows stay, and an empty table stays
-    empty. Texts of any length are encoded whole: a task holds one text, its distinct words and the index over 4 MB of
+    empty. Texts of any length are encoded whole: a task holds one text, its distinct words and the index over 2 MB of
     text or, of a longer one, over its distinct words. No shuffle.
     """
     fields = {"ids": (T.BinaryType(), pa.binary()), "decoded": (T.StringType(), pa.string())}

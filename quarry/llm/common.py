@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,12 +48,16 @@ def hits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def may_be_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     """A condition that holds for all keys of `keys`, and for others only if they share a bit: what it rules out needs no join."""
+    import pandas as pd  # here, so that workers which don't need it don't hold it
+
     bits = bitmap(keys.select(slot(F.col(key)).alias("slot")))
 
-    @F.pandas_udf("boolean")
     def hit(slots: pd.Series) -> pd.Series:
         return pd.Series(hits(bits, slots.to_numpy()))
 
+    hit.__annotations__ = {"slots": pd.Series, "return": pd.Series}
+    hit = F.pandas_udf(hit, "boolean")
+
     return lambda c: hit(slot(c))
 
 

@@ -38,8 +38,8 @@ REPORTED, COUNTED, MOST_FREQUENT = 2, 24 << 20, 500_000
 PAIRS_A_CLASS, REBUILDS = 50, 2
 #: A pair's filters ask for one token in common, and one more for each so many tokens of the smaller set.
 FILTER_STEP = 4
-#: Bits of the bitmap of tokens that several classes have: 16 MB, at any number of them.
-TOKEN_BITS = 1 << 27
+#: Bits of the bitmap of tokens that several classes have: 8 MB, at any number of them.
+TOKEN_BITS = 1 << 26
 #: Rows with the texts of a hub and of so many classes it meets, or fewer, are verified by one task.
 SPOKES = 128
 
