@@ -44,7 +44,7 @@ def fit_filter(spark: SparkSession, rows: int) -> None:
     rows = max(rows, int(spark.conf.get(named + "expectedNumItems")))
     bits = min(MOST_BITS, max(rows * BITS_A_ROW, int(spark.conf.get(named + "maxNumBits"))))
     spark.conf.set(named + "creationSideThreshold", str(1 << 60))
-    for k, v in (("expectedNumItems", rows), ("maxNumItems", max(rows, int(spark.conf.get(named + "maxNumItems")))), ("maxNumBits", bits)):
+    for k, v in (("expectedNumItems", rows), ("maxNumItems", max(rows, int(spark.conf.get(named + "maxNumItems")))), ("numBits", max(min(MOST_BITS, rows * BITS_A_ROW), int(spark.conf.get(named + "numBits")))), ("maxNumBits", bits)):
         spark.conf.set(named + k, str(v))
 
 
